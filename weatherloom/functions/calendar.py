@@ -17,7 +17,9 @@ def season_number(ts) -> Column:
 
 
 def season_name(ts) -> Column:
-    return F.element_at(_season_array(), season_number(ts))
+    number = season_number(ts)
+    # element_at takes an index that may be missing for one that never is, hence the guard.
+    return F.when(number.isNotNull(), F.element_at(_season_array(), number))
 
 
 def season_label(name: Column) -> Column:

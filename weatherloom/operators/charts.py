@@ -5,13 +5,17 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_start
 from ..functions.measures import bin_number
+from ..functions.rows import present
 from ..plans.sizing import written
-from ..schema import CITY, TEMPERATURE, TIMESTAMP
+from ..schema import CITY, SERIES_ORDER, TEMPERATURE, TIMESTAMP
 
 
 def chart_series(readings: DataFrame, *extra: str) -> DataFrame:
-    """Points of a line or scatter chart in time order."""
-    return readings.select(TIMESTAMP, TEMPERATURE, *extra).orderBy(TIMESTAMP)
+    """Points of a line or scatter chart in time order.
+
+    seq makes the sort key unique, so that one crowded instant does not land in one task.
+    """
+    return readings.orderBy(*SERIES_ORDER).select(TIMESTAMP, TEMPERATURE, *extra)
 
 
 def _with_bins(readings: DataFrame, bins: int, keys) -> DataFrame:
@@ -19,14 +23,14 @@ def _with_bins(readings: DataFrame, bins: int, keys) -> DataFrame:
 
     The bounds of the whole table are two scalar subqueries; those of groups are a written table.
     """
-    present = readings.dropna(subset=[TEMPERATURE, *keys])
-    bounds = present.groupBy(*keys).agg(
+    rows = present(readings, TEMPERATURE, *keys)
+    bounds = rows.groupBy(*keys).agg(
         F.min(TEMPERATURE).alias("low"), F.max(TEMPERATURE).alias("high")
     )
     if keys:
-        ranged = present.join(written(bounds, "bin-bounds"), list(keys))
+        ranged = rows.join(written(bounds, "bin-bounds"), list(keys))
     else:
-        ranged = present.withColumns(
+        ranged = rows.withColumns(
             {"low": bounds.select("low").scalar(), "high": bounds.select("high").scalar()}
         )
     number = bin_number(F.col(TEMPERATURE), F.col("low"), F.col("high"), bins)
@@ -53,7 +57,7 @@ def histogram(readings: DataFrame, bins: int = 30, keys=()) -> DataFrame:
 
 def density(readings: DataFrame, bins: int = 30, keys=()) -> DataFrame:
     """Rows per month and equal-width temperature bin; empty cells are absent."""
-    dated = readings.dropna(subset=[TIMESTAMP])
+    dated = present(readings, TIMESTAMP)
     counted = (
         _with_bins(dated, bins, keys)
         .groupBy(*keys, month_start(TIMESTAMP).alias("month"), "bin", "low", "high")

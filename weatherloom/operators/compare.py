@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import present
 from ..plans.sizing import BLOCK_ROWS
 from ..schema import CITY
 from .charts import chart_series
@@ -16,7 +17,7 @@ def choose_cities(readings: DataFrame, cities=None) -> DataFrame:
     """Rows of the chosen cities: names, a DataFrame with a `city` column, or the first two seen."""
     if cities is None:
         # Two rows by the limit, so the broadcast is safe.
-        chosen = F.broadcast(first_cities(readings.dropna(subset=[CITY]), DEFAULT_CITIES))
+        chosen = F.broadcast(first_cities(present(readings, CITY), DEFAULT_CITIES))
         return readings.join(chosen, CITY, "left_semi")
     if isinstance(cities, DataFrame):
         return readings.join(cities, CITY, "left_semi")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import season_name
 from ..functions.measures import lower_bound, upper_bound
+from ..functions.rows import present
 from ..plans.sizing import BLOCK_ROWS
 from ..schema import CITY, SEASON, TEMPERATURE, TIMESTAMP
 from .rolling import rolling_anomalies, rolling_stats
@@ -26,12 +27,12 @@ def _band(rows: DataFrame, keys, value: str, k: float) -> DataFrame:
 
 def city_norm(readings: DataFrame, k: float = 2) -> DataFrame:
     """Band over a city's whole history."""
-    return _band(readings.dropna(subset=[CITY]), [CITY], TEMPERATURE, k)
+    return _band(present(readings, CITY), [CITY], TEMPERATURE, k)
 
 
 def season_norm(readings: DataFrame, k: float = 2) -> DataFrame:
     """Band over a city's history in one season of the year."""
-    dated = readings.dropna(subset=[CITY, TIMESTAMP])
+    dated = present(readings, CITY, TIMESTAMP)
     return _band(dated, [CITY, season_name(TIMESTAMP).alias(SEASON)], TEMPERATURE, k)
 
 
@@ -52,6 +53,6 @@ def day_month_norm(
         rolled = flagged.where(~F.col("is_anomaly"))
     else:
         rolled = rolling_stats(readings, mean_rows, None, block_rows=block_rows)
-    dated = rolled.dropna(subset=[CITY, TIMESTAMP])
+    dated = present(rolled, CITY, TIMESTAMP)
     day, month = F.dayofmonth(TIMESTAMP).alias("day"), F.month(TIMESTAMP).alias("month")
     return _band(dated, [CITY, day, month], "rolling_mean", k)

@@ -10,13 +10,16 @@ from ..functions.calendar import (
     season_name,
     season_number,
 )
+from ..functions.rows import present
+from ..plans.sizing import BLOCK_ROWS
 from ..schema import CITY, SEASON, SEQ, SERIES_ORDER, TEMPERATURE, TIMESTAMP
+from .blocks import POSITION, number_rows
 
 
 def season_profile(readings: DataFrame) -> DataFrame:
     """Mean and sample deviation per city and stored season."""
     return (
-        readings.dropna(subset=[CITY, SEASON])
+        present(readings, CITY, SEASON)
         .groupBy(CITY, SEASON)
         .agg(
             F.avg(TEMPERATURE).alias("mean"),
@@ -29,7 +32,7 @@ def seasonal_profile(readings: DataFrame, city: str | None = None) -> DataFrame:
     """Mean, deviation, max and min per city and season of the timestamp, for one city or all."""
     chosen = readings if city is None else readings.where(F.col(CITY) == city)
     return (
-        chosen.dropna(subset=[CITY, TIMESTAMP])
+        present(chosen, CITY, TIMESTAMP)
         .groupBy(CITY, season_number(TIMESTAMP).alias("season_number"))
         .agg(
             F.max(season_label(season_name(TIMESTAMP))).alias(SEASON),
@@ -41,17 +44,21 @@ def seasonal_profile(readings: DataFrame, city: str | None = None) -> DataFrame:
     )
 
 
-def temperature_summary(readings: DataFrame, *keys) -> DataFrame:
-    """Min, max and mean, over all rows or per group of `keys`."""
-    return readings.groupBy(*keys).agg(
+def summary_columns():
+    return (
         F.min(TEMPERATURE).alias("min"),
         F.max(TEMPERATURE).alias("max"),
         F.avg(TEMPERATURE).alias("mean"),
     )
 
 
+def temperature_summary(readings: DataFrame, *keys) -> DataFrame:
+    """Min, max and mean, over all rows or per group of `keys`."""
+    return readings.groupBy(*keys).agg(*summary_columns())
+
+
 def city_summary(readings: DataFrame) -> DataFrame:
-    return temperature_summary(readings.dropna(subset=[CITY]), CITY)
+    return temperature_summary(present(readings, CITY), CITY)
 
 
 def season_summary(readings: DataFrame, season=None) -> DataFrame:
@@ -59,20 +66,20 @@ def season_summary(readings: DataFrame, season=None) -> DataFrame:
 
     A city without readings in the season has no row.
     """
-    dated = readings.dropna(subset=[CITY, TIMESTAMP])
+    dated = present(readings, CITY, TIMESTAMP)
     if season is not None:
         dated = dated.where(in_season(TIMESTAMP, season))
     return temperature_summary(dated, CITY, season_name(TIMESTAMP).alias(SEASON))
 
 
 def city_means(readings: DataFrame) -> DataFrame:
-    return readings.dropna(subset=[CITY]).groupBy(CITY).agg(F.avg(TEMPERATURE).alias("mean"))
+    return present(readings, CITY).groupBy(CITY).agg(F.avg(TEMPERATURE).alias("mean"))
 
 
 def daily_mean(readings: DataFrame, *keys) -> DataFrame:
     """Mean per calendar date, per group of `keys` if given."""
     return (
-        readings.dropna(subset=[TIMESTAMP, *keys])
+        present(readings, TIMESTAMP, *keys)
         .groupBy(*keys, calendar_date(TIMESTAMP).alias("day"))
         .agg(F.avg(TEMPERATURE).alias("mean"))
     )
@@ -98,7 +105,7 @@ def most_stable_city(readings: DataFrame) -> DataFrame:
 
 def anomaly_counts(flagged: DataFrame) -> DataFrame:
     """Number of anomalous rows per city."""
-    return flagged.dropna(subset=[CITY]).groupBy(CITY).agg(
+    return present(flagged, CITY).groupBy(CITY).agg(
         F.count_if("is_anomaly").alias("anomalies")
     )
 
@@ -122,7 +129,7 @@ def anomaly_extremes(flagged: DataFrame) -> DataFrame:
 
 
 def city_frequency(readings: DataFrame) -> DataFrame:
-    return readings.dropna(subset=[CITY]).groupBy(CITY).agg(F.count(F.lit(1)).alias("n"))
+    return present(readings, CITY).groupBy(CITY).agg(F.count(F.lit(1)).alias("n"))
 
 
 def most_frequent_city(readings: DataFrame) -> DataFrame:
@@ -147,13 +154,21 @@ def last_rows(readings: DataFrame, n: int = 5, keys=(CITY,)) -> DataFrame:
     """The last n rows of each series. Each task keeps n rows per series before the shuffle."""
     newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in SERIES_ORDER])
     return (
-        readings.dropna(subset=list(keys))
+        present(readings, *keys)
         .withColumn("_from_end", F.row_number().over(newest))
         .where(F.col("_from_end") <= n)
         .drop("_from_end")
     )
 
 
-def rows_between(readings: DataFrame, start: int, stop: int) -> DataFrame:
-    """Rows start .. stop - 1 of the table, counted from 0 in table order."""
-    return readings.orderBy(SEQ).offset(start).limit(stop - start)
+def rows_between(readings: DataFrame, start: int, stop: int, near: int = 100_000) -> DataFrame:
+    """Rows start .. stop - 1 of the table, counted from 0 in table order.
+
+    A slice near the top is a top-k. A deep one would drag all rows before it through one task, so
+    there the rows are numbered over range partitions.
+    """
+    if stop <= near:
+        return readings.orderBy(SEQ).offset(start).limit(stop - start)
+    place = F.col(POSITION)
+    numbered = number_rows(readings, [], [SEQ], readings.count(), BLOCK_ROWS)
+    return numbered.where((place >= start) & (place < stop)).drop(POSITION)

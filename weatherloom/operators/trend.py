@@ -1,10 +1,11 @@
 """Linear trend: least-squares slope of temperature on whole days since a series began."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import whole_days_since
+from ..functions.calendar import calendar_date, whole_days_since
 from ..functions.measures import trend_label
+from ..functions.rows import present
 from ..plans.sizing import written
 from ..schema import CITY, TEMPERATURE, TIMESTAMP
 
@@ -20,24 +21,51 @@ def with_first_timestamp(readings: DataFrame, keys=(CITY,)) -> DataFrame:
     The starts are one row per group. They are written first, so that Catalyst knows their size: it
     broadcasts few groups, and joins many by shuffle with adaptive skew handling.
     """
-    keyed = readings.dropna(subset=list(keys))
+    keyed = present(readings, *keys)
     starts = written(group_starts(keyed, keys), "group-starts")
     return keyed.join(starts, list(keys))
 
 
+def _slope(days: Column) -> Column:
+    return F.coalesce(F.regr_slope(F.col(TEMPERATURE), days.cast("double")), F.lit(0.0))
+
+
+def group_trends(readings: DataFrame, keys=(CITY,), *extra) -> DataFrame:
+    """Slope per day and its sign per group, next to any extra aggregates.
+
+    A shift of the days leaves the slope as it is. So where all readings of a group have the same
+    time of day, days can be counted from any date, and one pass over the readings is enough. Only
+    groups with mixed times take a second pass, which counts from their first timestamp.
+    """
+    keys = list(keys)
+    keyed = present(readings, *keys)
+    date = calendar_date(TIMESTAMP)
+    time_of_day = F.col(TIMESTAMP) - date.cast("timestamp_ntz")
+    first_pass = written(
+        keyed.groupBy(*keys).agg(
+            *extra,
+            _slope(F.unix_date(date)).alias("slope"),
+            F.min(TIMESTAMP).alias("first_timestamp"),
+            (F.min(time_of_day) < F.max(time_of_day)).alias("mixed_times"),
+        ),
+        "trends",
+    )
+    mixed = first_pass.where("mixed_times").select(*keys, "first_timestamp")
+    if mixed.isEmpty():
+        trends = first_pass
+    else:
+        days = whole_days_since(F.col(TIMESTAMP), F.col("first_timestamp"))
+        exact = keyed.join(mixed, keys).groupBy(*keys).agg(_slope(days).alias("exact_slope"))
+        trends = first_pass.join(exact, keys, "left").withColumn(
+            "slope", F.coalesce("exact_slope", "slope")
+        )
+    names = [c for c in first_pass.columns if c not in ("first_timestamp", "mixed_times")]
+    return trends.select(*names, trend_label(F.col("slope")).alias("trend"))
+
+
 def linear_trend(readings: DataFrame, keys=(CITY,)) -> DataFrame:
     """Slope per day and its sign per group. Rows without time or temperature are skipped.
 
     A group on a single day has slope 0.
     """
-    days = whole_days_since(F.col(TIMESTAMP), F.col("first_timestamp"))
-    return (
-        with_first_timestamp(readings, keys)
-        .groupBy(*keys)
-        .agg(
-            F.coalesce(
-                F.regr_slope(F.col(TEMPERATURE), days.cast("double")), F.lit(0.0)
-            ).alias("slope")
-        )
-        .withColumn("trend", trend_label(F.col("slope")))
-    )
+    return group_trends(readings, keys)

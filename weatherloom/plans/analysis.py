@@ -4,23 +4,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import current_season
-from ..operators.profiles import last_rows, temperature_summary
+from ..functions.rows import present
+from ..operators.profiles import last_rows, summary_columns
 from ..operators.rolling import flag_anomalies, rolling_anomalies, with_rolling_columns
-from ..operators.trend import linear_trend
+from ..operators.trend import group_trends
 from ..schema import CITY, SEASON, SERIES_ORDER, TEMPERATURE
 from .sizing import BLOCK_ROWS
 
 
 def season_rows(readings: DataFrame, as_of=None, cities=None) -> DataFrame:
     """Rows whose stored season is the one of `as_of` (today if missing), for some or all cities."""
-    rows = readings.dropna(subset=[CITY]).where(F.col(SEASON) == current_season(as_of))
+    rows = present(readings, CITY).where(F.col(SEASON) == current_season(as_of))
     return rows if cities is None else rows.where(F.col(CITY).isin(list(cities)))
 
 
 def season_statistics(readings: DataFrame, as_of=None, cities=None) -> DataFrame:
-    """Min, max, mean, slope and trend of the season, one row per city."""
-    rows = season_rows(readings, as_of, cities)
-    return temperature_summary(rows, CITY, SEASON).join(linear_trend(rows), CITY)
+    """Min, max, mean, slope and trend of the season, one row per city, from one pass."""
+    return group_trends(season_rows(readings, as_of, cities), [CITY, SEASON], *summary_columns())
 
 
 def season_analysis(

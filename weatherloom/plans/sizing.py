@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import present
+
 # A series of at most this many rows is sorted in one task (some hundred megabytes, and it can spill).
 BLOCK_ROWS = 4_000_000
 
@@ -39,7 +41,7 @@ def long_series(readings: DataFrame, keys, block_rows: int):
     rows / block_rows, which bounds the broadcast of the returned keys.
     """
     sizes = (
-        readings.dropna(subset=list(keys))
+        present(readings, *keys)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > block_rows)
