@@ -145,7 +145,7 @@ def rolling_within_season(spark, sf_dir):
 
 def rolling_long_series(spark, sf_dir):
     """The same as rolling_30_7 where series count as long, and are cut into blocks, from 500 rows."""
-    return rolling.rolling_stats(orders(spark, sf_dir), 30, 7, block_rows=500).select(*ROLLED)
+    return rolling.rolling_stats(orders(spark, sf_dir), 30, 7, series_rows=500).select(*ROLLED)
 
 
 def anomaly_flags_30_7(spark, sf_dir):

@@ -25,10 +25,10 @@ def rolling_means(frame, exclude=False):
 
 
 @pytest.mark.parametrize("exclude", [False, True])
-@pytest.mark.parametrize("block_rows", [10**6, 150])
-def test_day_month_norm(make, history, exclude, block_rows):
+@pytest.mark.parametrize("series_rows", [10**6, 150])
+def test_day_month_norm(make, history, exclude, series_rows):
     got = to_pandas(
-        norms.day_month_norm(make(history), exclude_anomalies=exclude, block_rows=block_rows),
+        norms.day_month_norm(make(history), exclude_anomalies=exclude, series_rows=series_rows),
         "city", "month", "day",
     )
     frame = rolling_means(history, exclude)

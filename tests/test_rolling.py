@@ -28,21 +28,21 @@ def check(df, frame, mean_rows, std_rows, keys=("city",)):
     assert want["is_anomaly"].any()
 
 
-@pytest.mark.parametrize("mean_rows, std_rows", [(30, 7), (30, 30), (5, 9)])
-@pytest.mark.parametrize("block_rows", [10**6, 300, 64, 29, 1])
-def test_rolling_equals_pandas_whole_and_in_blocks(make, history, mean_rows, std_rows, block_rows):
-    flagged = rolling_anomalies(make(history), mean_rows, std_rows, block_rows=block_rows)
+@pytest.mark.parametrize("mean_rows, std_rows", [(30, 7), (30, 30), (11, 23)])
+@pytest.mark.parametrize("series_rows", [10**6, 300, 40])
+def test_rolling_equals_pandas_whole_and_in_blocks(make, history, mean_rows, std_rows, series_rows):
+    flagged = rolling_anomalies(make(history), mean_rows, std_rows, series_rows=series_rows)
     check(flagged, history, mean_rows, std_rows)
 
 
-@pytest.mark.parametrize("block_rows", [10**6, 50])
-def test_rolling_within_a_season_runs_across_years(make, history, block_rows):
+@pytest.mark.parametrize("series_rows", [10**6, 50])
+def test_rolling_within_a_season_runs_across_years(make, history, series_rows):
     frame = history.copy()
     frame["season"] = (frame["timestamp"].dt.month % 12 // 3).map(
         dict(enumerate(["winter", "spring", "summer", "autumn"]))
     )
     keys = ("city", "season")
-    flagged = rolling_anomalies(make(frame), 30, 7, keys=keys, block_rows=block_rows)
+    flagged = rolling_anomalies(make(frame), 30, 7, keys=keys, series_rows=series_rows)
     check(flagged, frame, 30, 7, keys)
 
 
@@ -58,39 +58,53 @@ def test_rows_out_of_order_and_partitions_do_not_matter(make, history):
         check(rolling_anomalies(make(shuffled).repartition(parts)), history, 30, 7)
 
 
-@pytest.mark.parametrize("block_rows", [10**6, 100])
-def test_one_city_and_one_instant_with_most_rows(make, block_rows):
+@pytest.mark.parametrize("series_rows", [10**6, 100])
+def test_one_city_and_one_instant_with_most_rows(make, series_rows):
     """A city with most rows, most of which are at one instant, told apart by seq only."""
     hot = series("Hot", 1200, seed=9)
     hot.loc[100:1000, "timestamp"] = pd.Timestamp("2019-06-01")
     hot = hot.sort_values("timestamp", kind="stable")
     frame = pd.concat([hot, series("Cold", 150, seed=10)], ignore_index=True)
     frame["seq"] = np.arange(len(frame))
-    check(rolling_anomalies(make(frame), block_rows=block_rows), frame, 30, 7)
+    check(rolling_anomalies(make(frame), series_rows=series_rows), frame, 30, 7)
 
 
-@pytest.mark.parametrize("block_rows", [10**6, 100])
-def test_rows_without_city_stay_without_statistics(make, history, block_rows):
+@pytest.mark.parametrize("series_rows", [10**6, 100])
+def test_rows_without_city_stay_without_statistics(make, history, series_rows):
     nameless = series(None, 400, seed=11)
     frame = pd.concat([history, nameless], ignore_index=True)
     frame["seq"] = np.arange(len(frame))
-    rolled = to_pandas(rolling_anomalies(make(frame), block_rows=block_rows), "seq")
+    rolled = to_pandas(rolling_anomalies(make(frame), series_rows=series_rows), "seq")
     assert len(rolled) == len(frame)
     without = rolled[rolled["city"].isna()]
     assert len(without) == 400
     assert without["rolling_mean"].isna().all() and not without["is_anomaly"].any()
-    one_row = rolling_stats(make(frame), 1, 7, block_rows=block_rows).where("city IS NULL")
+    one_row = rolling_stats(make(frame), 1, 7, series_rows=series_rows).where("city IS NULL")
     assert one_row.where("rolling_mean IS NOT NULL").isEmpty()
 
 
-def test_band_is_strict(make):
+@pytest.mark.parametrize("value", [5.0, 0.1, -7.3])
+def test_band_is_strict_and_exact_on_constant_values(make, value):
     frame = series("Flat", 60)
-    frame["temperature"] = 5.0
+    frame["temperature"] = value
     flat = rolling_anomalies(make(frame))
     assert anomalies_only(flat).isEmpty()
     assert flat.where("rolling_std = 0").count() == 54
 
 
+@pytest.mark.parametrize("rows", [1, 2, 8, 9, 13, 31, 60])
+def test_windows_of_any_size(make, history, rows):
+    got = to_pandas(rolling_stats(make(history), rows, rows), "seq")
+    want = expected(history, rows, rows)
+    same(got["rolling_mean"], want["rolling_mean"])
+    same(got["rolling_std"], want["rolling_std"])
+
+
+def test_only_one_of_both_statistics(make, history):
+    assert "rolling_std" not in rolling_stats(make(history), 30, None).columns
+    assert "rolling_mean" not in rolling_stats(make(history), None, 7).columns
+
+
 def test_counts_and_extremes_of_anomalies(make, history):
     flagged = rolling_anomalies(make(history))
     want = expected(history, 30, 7).groupby("city")["is_anomaly"].sum()

@@ -54,11 +54,11 @@ def same_rolled(got, want):
     assert got["is_anomaly"].tolist() == want["is_anomaly"].tolist()
 
 
-@pytest.mark.parametrize("block_rows", [10**6, 40])
-def test_rolling_stream_equals_batch(spark, make, tmp_path, landing, arrivals, block_rows):
+@pytest.mark.parametrize("series_rows", [10**6, 40])
+def test_rolling_stream_equals_batch(spark, make, tmp_path, landing, arrivals, series_rows):
     for start in range(0, len(arrivals), 50):
         landing.land(arrivals.iloc[start : start + 50])
-    rolled = RollingStream(str(tmp_path / "rolled"), block_rows=block_rows)
+    rolled = RollingStream(str(tmp_path / "rolled"), series_rows=series_rows)
     run(rolled.start, landing.stream())
     newest = arrivals["timestamp"].max()
     before = rolled.rolled(spark)

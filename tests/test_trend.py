@@ -98,9 +98,9 @@ def test_season_analysis_of_chosen_cities(make, history):
 
 def test_season_anomalies_cover_all_rows(make, history):
     winter = history[history["timestamp"].dt.month.isin([12, 1, 2])]
-    for block_rows in (10**6, 40):
+    for series_rows in (10**6, 40):
         got = to_pandas(
-            analysis.season_anomalies(make(history), "2024-01-20", block_rows=block_rows), "seq"
+            analysis.season_anomalies(make(history), "2024-01-20", series_rows=series_rows), "seq"
         )
         want = pd.concat([season_figures(g) for _, g in winter.groupby("city")])
         want = want.sort_values("seq")

@@ -12,14 +12,15 @@ OWN_BLOCK = "_own_block"
 POSITION = "_position"
 
 
-def number_rows(df: DataFrame, keys, order, rows: int, block_rows: int) -> DataFrame:
+def number_rows(df: DataFrame, keys, order, rows: int, partition_rows: int) -> DataFrame:
     """Add `_position`, the exact 0-based place of each row in its series, without one task per series.
 
-    The rows are sorted over the whole table by range partitions of about `block_rows` rows. A unique
-    last order column keeps the partitions balanced even when a key, or a single instant of a key,
-    holds most rows. The sorted table is written once, so partition and row ids stay fixed.
+    The `rows` rows are sorted over the whole table by range partitions of about `partition_rows`
+    each. A unique last order column keeps the partitions balanced even when a key, or a single
+    instant of a key, holds most rows. The sorted table is written once, so partition and row ids
+    stay fixed.
     """
-    partitions = max(1, math.ceil(rows / block_rows))
+    partitions = max(1, math.ceil(rows / partition_rows))
     sorted_rows = written(
         df.repartitionByRange(partitions, *keys, *order)
         .sortWithinPartitions(*keys, *order)
@@ -27,7 +28,8 @@ def number_rows(df: DataFrame, keys, order, rows: int, block_rows: int) -> DataF
         .withColumn("_row", F.monotonically_increasing_id()),
         "sorted-series",
     )
-    # A series takes part in few partitions: there are at most partitions + series segments.
+    # Each partition border cuts one series at most, so there are at most partitions + series
+    # segments: small beside the rows, which bounds the broadcast.
     segments = sorted_rows.groupBy(*keys, "_part").agg(
         F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
@@ -45,17 +47,18 @@ def number_rows(df: DataFrame, keys, order, rows: int, block_rows: int) -> DataF
     )
 
 
-def split_series(df: DataFrame, keys, order, rows: int, block_rows: int, lead: int) -> DataFrame:
-    """Blocks of `block_rows` consecutive rows, each led by the last `lead` rows of the block before.
+def split_series(df: DataFrame, keys, order, rows: int, series_rows: int, lead: int) -> DataFrame:
+    """Long series in blocks of a quarter of `series_rows`, led by the last `lead` rows before them.
 
-    Rows carry `_block` (where they are used) and `_own_block` (where they belong).
+    Rows carry `_block` (where they are used) and `_own_block` (where they belong). Positions are
+    exact, so every block but a series' last is full and the block before always has the lead.
     """
-    size = max(block_rows, lead, 1)
+    size = max(series_rows // 4, lead, 1)
     position = F.col(POSITION)
     own = F.col(OWN_BLOCK)
     used_in = F.when(position % size >= size - lead, F.array(own, own + 1)).otherwise(F.array(own))
     return (
-        number_rows(df, keys, order, rows, size)
+        number_rows(df, keys, order, rows, max(series_rows, 1))
         .withColumn(OWN_BLOCK, F.floor(position / size))
         .withColumn(BLOCK, F.explode(used_in))
         .drop(POSITION)

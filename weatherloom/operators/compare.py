@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import present
-from ..plans.sizing import BLOCK_ROWS
+from ..plans.sizing import LONG_SERIES
 from ..schema import CITY
 from .charts import chart_series
 from .profiles import city_means, first_cities
@@ -33,8 +33,8 @@ def compare_means(readings: DataFrame, cities=None) -> DataFrame:
 
 
 def compare_anomalies(
-    readings: DataFrame, cities=None, rows: int = 30, k: float = 2, block_rows: int = BLOCK_ROWS
+    readings: DataFrame, cities=None, rows: int = 30, k: float = 2, series_rows: int = LONG_SERIES
 ) -> DataFrame:
     """Chosen cities with rolling statistics over equal windows and anomaly flags."""
     chosen = choose_cities(readings, cities)
-    return rolling_anomalies(chosen, rows, rows, k, block_rows=block_rows)
+    return rolling_anomalies(chosen, rows, rows, k, series_rows=series_rows)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import season_name
 from ..functions.measures import lower_bound, upper_bound
 from ..functions.rows import present
-from ..plans.sizing import BLOCK_ROWS
+from ..plans.sizing import LONG_SERIES
 from ..schema import CITY, SEASON, TEMPERATURE, TIMESTAMP
 from .rolling import rolling_anomalies, rolling_stats
 
@@ -42,17 +42,17 @@ def day_month_norm(
     mean_rows: int = 30,
     std_rows: int = 7,
     exclude_anomalies: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    series_rows: int = LONG_SERIES,
 ) -> DataFrame:
     """Band over the rolling means of one calendar day in all years.
 
     The rolling mean runs over the whole history. Anomalous days count unless they are excluded.
     """
     if exclude_anomalies:
-        flagged = rolling_anomalies(readings, mean_rows, std_rows, block_rows=block_rows)
+        flagged = rolling_anomalies(readings, mean_rows, std_rows, series_rows=series_rows)
         rolled = flagged.where(~F.col("is_anomaly"))
     else:
-        rolled = rolling_stats(readings, mean_rows, None, block_rows=block_rows)
+        rolled = rolling_stats(readings, mean_rows, None, series_rows=series_rows)
     dated = present(rolled, CITY, TIMESTAMP)
     day, month = F.dayofmonth(TIMESTAMP).alias("day"), F.month(TIMESTAMP).alias("month")
     return _band(dated, [CITY, day, month], "rolling_mean", k)

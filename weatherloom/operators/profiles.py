@@ -11,7 +11,7 @@ from ..functions.calendar import (
     season_number,
 )
 from ..functions.rows import present
-from ..plans.sizing import BLOCK_ROWS
+from ..plans.sizing import LONG_SERIES
 from ..schema import CITY, SEASON, SEQ, SERIES_ORDER, TEMPERATURE, TIMESTAMP
 from .blocks import POSITION, number_rows
 
@@ -150,15 +150,18 @@ def city_count(readings: DataFrame) -> DataFrame:
     return readings.agg(F.count_distinct(CITY).alias("cities"))
 
 
-def last_rows(readings: DataFrame, n: int = 5, keys=(CITY,)) -> DataFrame:
-    """The last n rows of each series. Each task keeps n rows per series before the shuffle."""
+def rows_from_end(readings: DataFrame, n: int, keys=(CITY,)) -> DataFrame:
+    """The last n rows of each series with `from_end`, 1 for the last.
+
+    Each task keeps n rows per series before the shuffle.
+    """
     newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in SERIES_ORDER])
-    return (
-        present(readings, *keys)
-        .withColumn("_from_end", F.row_number().over(newest))
-        .where(F.col("_from_end") <= n)
-        .drop("_from_end")
-    )
+    numbered = present(readings, *keys).withColumn("from_end", F.row_number().over(newest))
+    return numbered.where(F.col("from_end") <= n)
+
+
+def last_rows(readings: DataFrame, n: int = 5, keys=(CITY,)) -> DataFrame:
+    return rows_from_end(readings, n, keys).drop("from_end")
 
 
 def rows_between(readings: DataFrame, start: int, stop: int, near: int = 100_000) -> DataFrame:
@@ -170,5 +173,5 @@ def rows_between(readings: DataFrame, start: int, stop: int, near: int = 100_000
     if stop <= near:
         return readings.orderBy(SEQ).offset(start).limit(stop - start)
     place = F.col(POSITION)
-    numbered = number_rows(readings, [], [SEQ], readings.count(), BLOCK_ROWS)
+    numbered = number_rows(readings, [], [SEQ], readings.count(), LONG_SERIES)
     return numbered.where((place >= start) & (place < stop)).drop(POSITION)

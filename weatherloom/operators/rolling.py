@@ -1,28 +1,95 @@
 """Rolling mean and deviation over the last n rows of each series, and anomaly flags."""
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import outside_band
-from ..plans.sizing import BLOCK_ROWS, long_series
+from ..plans.sizing import LONG_SERIES, long_series
 from ..schema import CITY, SEQ, SERIES_ORDER, TEMPERATURE
 from .blocks import BLOCK, OWN_BLOCK, split_series
 
 
-def _full_frame(aggregate, value: str, rows: int, series) -> Column:
-    """The aggregate over the last `rows` rows, missing until all of them hold a value."""
-    frame = series.rowsBetween(-(rows - 1), 0)
-    return F.when(F.count(value).over(frame) == rows, aggregate(value).over(frame))
+def _split(rows: int) -> tuple[int, int, int]:
+    """(inner, outer, rest) with rows = inner * outer + rest and few rows to look back at."""
+    if rows <= 8:
+        return rows, 1, 0
+    parts = ((inner, rows // inner, rows % inner) for inner in range(2, rows))
+    return min(parts, key=sum)
+
+
+def _total(terms) -> Column:
+    return reduce(add, terms)
+
+
+def _square(x: Column) -> Column:
+    return x * x
 
 
 def with_rolling_columns(df: DataFrame, partition, order, value, mean_rows, std_rows) -> DataFrame:
+    """Mean of the last `mean_rows` and sample deviation of the last `std_rows` rows of a partition.
+
+    A frame would visit all its rows again for every row. Here a window of 30 rows is 6 windows of 5,
+    each of which is computed once, at its last row, and looked up with lag: about 2 * sqrt(rows)
+    steps per row. Sums of squares are combined around the means, so nothing cancels out. A missing
+    value, or a look back beyond the first row, makes the result missing; so windows stay missing
+    until all of their rows hold a value. Means are offsets from the current value, which makes them
+    exact on constant stretches. All lags share one shuffle and one sort.
+    """
     series = Window.partitionBy(*partition).orderBy(*order)
-    columns = {}
+    sizes = {rows: _split(rows) for rows in (mean_rows, std_rows) if rows}
+    kept = [F.col(name) for name in df.columns]
+    now = F.col(value)
+
+    # The last rows themselves, as far as the inner windows reach.
+    reach = max(inner for inner, _, _ in sizes.values())
+    df = df.withColumns({f"_x{i}": F.lag(value, i).over(series) for i in range(1, reach)})
+    last = [now] + [F.col(f"_x{i}") for i in range(1, reach)]
+
+    # Mean and sum of squared deviations of each inner window, at its last row.
+    for inner in {inner for inner, _, _ in sizes.values()}:
+        offsets = _total(x - now for x in last[:inner])
+        df = df.withColumn(f"_mean{inner}", now + offsets / inner)
+        squares = _total(_square(x - F.col(f"_mean{inner}")) for x in last[:inner])
+        df = df.withColumn(f"_squares{inner}", squares)
+
+    # The inner windows, and single rows where they do not add up, that make up each window.
+    lags = {}
+    for rows, (inner, outer, rest) in sizes.items():
+        for i in range(1, outer):
+            lags[f"_mean{inner}_{i}"] = F.lag(f"_mean{inner}", i * inner).over(series)
+            if rows == std_rows:
+                lags[f"_squares{inner}_{i}"] = F.lag(f"_squares{inner}", i * inner).over(series)
+        for i in range(rows - rest, rows):
+            lags[f"_row{i}"] = F.lag(value, i).over(series)
+    df = df.withColumns(lags)
+
+    def parts(name, rows):
+        inner, outer, _ = sizes[rows]
+        return [F.col(f"_{name}{inner}")] + [F.col(f"_{name}{inner}_{i}") for i in range(1, outer)]
+
+    def singles(rows):
+        return [F.col(f"_row{i}") for i in range(rows - sizes[rows][2], rows)]
+
+    def mean(rows):
+        offsets = [(m - now) * sizes[rows][0] for m in parts("mean", rows)]
+        return now + _total(offsets + [x - now for x in singles(rows)]) / rows
+
+    results = []
     if mean_rows:
-        columns["rolling_mean"] = _full_frame(F.avg, value, mean_rows, series)
-    if std_rows:
-        columns["rolling_std"] = _full_frame(F.stddev_samp, value, std_rows, series)
-    return df.withColumns(columns)
+        results.append(mean(mean_rows).alias("rolling_mean"))
+    if std_rows == 1:
+        results.append(F.lit(None).cast("double").alias("rolling_std"))
+    elif std_rows:
+        df = df.withColumn("_center", mean(std_rows))
+        inner, center = sizes[std_rows][0], F.col("_center")
+        spread = [_square(m - center) * inner for m in parts("mean", std_rows)]
+        spread += [_square(x - center) for x in singles(std_rows)]
+        squares = _total(parts("squares", std_rows) + spread)
+        results.append(F.sqrt(squares / (std_rows - 1)).alias("rolling_std"))
+    return df.select(*kept, *results)
 
 
 def rolling_stats(
@@ -30,13 +97,13 @@ def rolling_stats(
     mean_rows: int | None = 30,
     std_rows: int | None = 7,
     keys=(CITY,),
-    block_rows: int = BLOCK_ROWS,
+    series_rows: int = LONG_SERIES,
     value: str = TEMPERATURE,
 ) -> DataFrame:
     """Add `rolling_mean` and `rolling_std` over the last rows of each series, in time order.
 
     Rows are counted, not days. Both windows share one shuffle and one sort. Series of up to
-    `block_rows` rows are one window partition; longer ones are cut into blocks. Rows without a key
+    `series_rows` rows are one window partition; longer ones are cut into blocks. Rows without a key
     belong to no series: they keep missing values and are spread over the cluster.
     """
     keys = list(keys)
@@ -55,14 +122,14 @@ def rolling_stats(
                 rolled = rolled.withColumn(name, F.when(has_key, F.col(name)))
         return rolled
 
-    long_keys, long_rows = long_series(readings, keys, block_rows)
+    long_keys, long_rows = long_series(readings, keys, series_rows)
     if long_keys is None:
         return whole(readings)
 
     lead = max(mean_rows or 1, std_rows or 1) - 1
     short = readings.join(F.broadcast(long_keys), keys, "left_anti")
     long = readings.join(F.broadcast(long_keys), keys, "left_semi")
-    blocks = split_series(long, keys, SERIES_ORDER, long_rows, block_rows, lead)
+    blocks = split_series(long, keys, SERIES_ORDER, long_rows, series_rows, lead)
     rolled = roll(blocks).where(F.col(BLOCK) == F.col(OWN_BLOCK)).drop(BLOCK, OWN_BLOCK)
     return whole(short).unionByName(rolled)
 
@@ -79,10 +146,10 @@ def rolling_anomalies(
     std_rows: int = 7,
     k: float = 2,
     keys=(CITY,),
-    block_rows: int = BLOCK_ROWS,
+    series_rows: int = LONG_SERIES,
 ) -> DataFrame:
     """All readings with rolling statistics and `is_anomaly`."""
-    return flag_anomalies(rolling_stats(readings, mean_rows, std_rows, keys, block_rows), k)
+    return flag_anomalies(rolling_stats(readings, mean_rows, std_rows, keys, series_rows), k)
 
 
 def anomalies_only(flagged: DataFrame) -> DataFrame:

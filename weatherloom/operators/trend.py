@@ -1,6 +1,6 @@
 """Linear trend: least-squares slope of temperature on whole days since a series began."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_date, whole_days_since
@@ -41,19 +41,19 @@ def group_trends(readings: DataFrame, keys=(CITY,), *extra) -> DataFrame:
     keyed = present(readings, *keys)
     date = calendar_date(TIMESTAMP)
     time_of_day = F.col(TIMESTAMP) - date.cast("timestamp_ntz")
-    first_pass = written(
-        keyed.groupBy(*keys).agg(
-            *extra,
-            _slope(F.unix_date(date)).alias("slope"),
-            F.min(TIMESTAMP).alias("first_timestamp"),
-            (F.min(time_of_day) < F.max(time_of_day)).alias("mixed_times"),
-        ),
-        "trends",
+    seen = Observation()
+    first_pass = keyed.groupBy(*keys).agg(
+        *extra,
+        _slope(F.unix_date(date)).alias("slope"),
+        F.min(TIMESTAMP).alias("first_timestamp"),
+        (F.min(time_of_day) < F.max(time_of_day)).alias("mixed_times"),
     )
-    mixed = first_pass.where("mixed_times").select(*keys, "first_timestamp")
-    if mixed.isEmpty():
+    any_mixed = F.bool_or("mixed_times").alias("any_mixed")
+    first_pass = written(first_pass.observe(seen, any_mixed), "trends")
+    if not seen.get["any_mixed"]:
         trends = first_pass
     else:
+        mixed = first_pass.where("mixed_times").select(*keys, "first_timestamp")
         days = whole_days_since(F.col(TIMESTAMP), F.col("first_timestamp"))
         exact = keyed.join(mixed, keys).groupBy(*keys).agg(_slope(days).alias("exact_slope"))
         trends = first_pass.join(exact, keys, "left").withColumn(

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import current_season
 from ..functions.rows import present
-from ..operators.profiles import last_rows, summary_columns
+from ..operators.profiles import rows_from_end, summary_columns
 from ..operators.rolling import flag_anomalies, rolling_anomalies, with_rolling_columns
 from ..operators.trend import group_trends
 from ..schema import CITY, SEASON, SERIES_ORDER, TEMPERATURE
-from .sizing import BLOCK_ROWS
+from .sizing import LONG_SERIES
 
 
 def season_rows(readings: DataFrame, as_of=None, cities=None) -> DataFrame:
@@ -39,11 +39,11 @@ def season_analysis(
     """
     rows = season_rows(readings, as_of, cities)
     reach = tail + max(mean_rows, std_rows) - 1
-    recent = last_rows(rows, reach)
+    recent = rows_from_end(rows, reach)
     rolled = with_rolling_columns(
         recent, [CITY], SERIES_ORDER, TEMPERATURE, mean_rows, std_rows
     )
-    ending = last_rows(flag_anomalies(rolled, k), tail)
+    ending = flag_anomalies(rolled, k).where(F.col("from_end") <= tail).drop("from_end")
     return ending.join(season_statistics(readings, as_of, cities), [CITY, SEASON])
 
 
@@ -54,8 +54,8 @@ def season_anomalies(
     mean_rows: int = 30,
     std_rows: int = 7,
     k: float = 2,
-    block_rows: int = BLOCK_ROWS,
+    series_rows: int = LONG_SERIES,
 ) -> DataFrame:
     """All rows of the season with rolling statistics within the season and anomaly flags."""
     rows = season_rows(readings, as_of, cities)
-    return rolling_anomalies(rows, mean_rows, std_rows, k, block_rows=block_rows)
+    return rolling_anomalies(rows, mean_rows, std_rows, k, series_rows=series_rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.rows import present
 
 # A series of at most this many rows is sorted in one task (some hundred megabytes, and it can spill).
-BLOCK_ROWS = 4_000_000
+LONG_SERIES = 4_000_000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -34,17 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def long_series(readings: DataFrame, keys, block_rows: int):
-    """Series longer than `block_rows`, as (DataFrame of keys, their rows in total), or (None, 0).
+def long_series(readings: DataFrame, keys, series_rows: int):
+    """Series longer than `series_rows`, as (DataFrame of keys, their rows in total), or (None, 0).
 
     One scan of the key columns, combined before the shuffle. There are never more long series than
-    rows / block_rows, which bounds the broadcast of the returned keys.
+    rows / series_rows, which bounds the broadcast of the returned keys.
     """
     sizes = (
         present(readings, *keys)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > block_rows)
+        .where(F.col("n") > series_rows)
     )
     rows = sizes.agg(F.sum("n")).first()[0]
     if rows is None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.profiles import last_rows
 from ..operators.rolling import rolling_anomalies
-from ..plans.sizing import BLOCK_ROWS
+from ..plans.sizing import LONG_SERIES
 from ..schema import READINGS, TIMESTAMP
 
 _COLUMNS = READINGS.fieldNames()
@@ -48,12 +48,12 @@ class RollingStream:
         mean_rows: int = 30,
         std_rows: int = 7,
         k: float = 2,
-        block_rows: int = BLOCK_ROWS,
+        series_rows: int = LONG_SERIES,
     ):
         self.folder = folder
         self.delay = delay
         self.reach = max(mean_rows, std_rows) - 1
-        self.options = dict(mean_rows=mean_rows, std_rows=std_rows, k=k, block_rows=block_rows)
+        self.options = dict(mean_rows=mean_rows, std_rows=std_rows, k=k, series_rows=series_rows)
 
     def start(self, readings: DataFrame, **trigger):
         """Start the stream; returns the running query."""
