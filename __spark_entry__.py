@@ -144,8 +144,10 @@ def rolling_within_season(spark, sf_dir):
 
 
 def rolling_long_series(spark, sf_dir):
-    """The same as rolling_30_7 where series count as long, and are cut into blocks, from 500 rows."""
-    return rolling.rolling_stats(orders(spark, sf_dir), 30, 7, series_rows=500).select(*ROLLED)
+    """The same as rolling_30_7, with series of more than a thirtieth of all rows cut into blocks."""
+    rows = orders(spark, sf_dir)
+    limit = rows.count() // 30
+    return rolling.rolling_stats(rows, 30, 7, series_rows=limit).select(*ROLLED)
 
 
 def anomaly_flags_30_7(spark, sf_dir):
@@ -365,16 +367,17 @@ def parquet_roundtrip(spark, sf_dir):
 
 
 def _means(spark, sf_dir):
-    profile = profiles.season_profile(orders(spark, sf_dir))
+    """Suppliers as cities; the mean quantity shipped in a season is its mean temperature."""
+    profile = profiles.season_profile(standins.shipment_readings(spark, sf_dir))
     return profile.select("city", "season", F.round("mean", DIGITS).alias("mean_temp"))
 
 
 def synthetic_calendar(spark, sf_dir):
-    return synthetic.synthetic_calendar(_means(spark, sf_dir))
+    return synthetic.synthetic_calendar(_means(spark, sf_dir), years=2)
 
 
 def synthetic_readings(spark, sf_dir):
-    return synthetic.synthetic_readings(_means(spark, sf_dir), seed=42)
+    return synthetic.synthetic_readings(_means(spark, sf_dir), years=2, seed=42)
 
 
 # --- streams -----------------------------------------------------------------------------------
@@ -844,11 +847,14 @@ SELECT CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN NULL
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "csv_roundtrip": f"{_with()} SELECT {_READING} FROM readings",
     "parquet_roundtrip": f"{_with()} SELECT {_READING} FROM readings",
-    "synthetic_calendar": f"""{_with()},
+    "synthetic_calendar": f"""WITH readings AS (
+  SELECT l_suppkey::VARCHAR AS city, {_season('l_shipdate')} AS season, l_quantity AS temperature
+  FROM lineitem
+),
 means AS (
   SELECT city, season, {_r('avg(temperature)', 'mean_temp')} FROM readings GROUP BY city, season
 ),
-days AS (SELECT unnest(range(0, 3650)) AS seq),
+days AS (SELECT unnest(range(0, 730)) AS seq),
 dated AS (SELECT seq, (DATE '2010-01-01' + seq::INTEGER)::TIMESTAMP AS timestamp FROM days),
 cities AS (SELECT DISTINCT city FROM readings),
 product AS (SELECT city, timestamp, {_season('timestamp')} AS season, seq FROM cities, dated)

@@ -1,9 +1,6 @@
 """Rolling mean and deviation over the last n rows of each series, and anomaly flags."""
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import outside_band
@@ -20,12 +17,8 @@ def _split(rows: int) -> tuple[int, int, int]:
     return min(parts, key=sum)
 
 
-def _total(terms) -> Column:
-    return reduce(add, terms)
-
-
-def _square(x: Column) -> Column:
-    return x * x
+def _sum(terms) -> str:
+    return " + ".join(f"({term})" for term in terms)
 
 
 def with_rolling_columns(df: DataFrame, partition, order, value, mean_rows, std_rows) -> DataFrame:
@@ -38,58 +31,63 @@ def with_rolling_columns(df: DataFrame, partition, order, value, mean_rows, std_
     until all of their rows hold a value. Means are offsets from the current value, which makes them
     exact on constant stretches. All lags share one shuffle and one sort.
     """
-    series = Window.partitionBy(*partition).orderBy(*order)
+    kept = df.columns
+    series = f"OVER (PARTITION BY {', '.join(partition)} ORDER BY {', '.join(order)})"
     sizes = {rows: _split(rows) for rows in (mean_rows, std_rows) if rows}
-    kept = [F.col(name) for name in df.columns]
-    now = F.col(value)
+    inner_sizes = {inner for inner, _, _ in sizes.values()}
 
     # The last rows themselves, as far as the inner windows reach.
-    reach = max(inner for inner, _, _ in sizes.values())
-    df = df.withColumns({f"_x{i}": F.lag(value, i).over(series) for i in range(1, reach)})
-    last = [now] + [F.col(f"_x{i}") for i in range(1, reach)]
+    last = [value] + [f"_x{i}" for i in range(1, max(inner_sizes))]
+    df = df.selectExpr(
+        "*", *[f"lag({value}, {i}) {series} AS {x}" for i, x in enumerate(last) if i > 0]
+    )
 
     # Mean and sum of squared deviations of each inner window, at its last row.
-    for inner in {inner for inner, _, _ in sizes.values()}:
-        offsets = _total(x - now for x in last[:inner])
-        df = df.withColumn(f"_mean{inner}", now + offsets / inner)
-        squares = _total(_square(x - F.col(f"_mean{inner}")) for x in last[:inner])
-        df = df.withColumn(f"_squares{inner}", squares)
+    means, squares = [], []
+    for n in inner_sizes:
+        offsets = _sum(f"{x} - {value}" for x in last[:n])
+        means.append(f"{value} + ({offsets}) / {n} AS _mean{n}")
+        deviations = _sum(f"({x} - _mean{n}) * ({x} - _mean{n})" for x in last[:n])
+        squares.append(f"{deviations} AS _squares{n}")
+    df = df.selectExpr("*", *means).selectExpr("*", *squares)
 
     # The inner windows, and single rows where they do not add up, that make up each window.
     lags = {}
-    for rows, (inner, outer, rest) in sizes.items():
+    for rows, (n, outer, rest) in sizes.items():
         for i in range(1, outer):
-            lags[f"_mean{inner}_{i}"] = F.lag(f"_mean{inner}", i * inner).over(series)
+            lags[f"_mean{n}_{i}"] = f"lag(_mean{n}, {i * n}) {series}"
             if rows == std_rows:
-                lags[f"_squares{inner}_{i}"] = F.lag(f"_squares{inner}", i * inner).over(series)
+                lags[f"_squares{n}_{i}"] = f"lag(_squares{n}, {i * n}) {series}"
         for i in range(rows - rest, rows):
-            lags[f"_row{i}"] = F.lag(value, i).over(series)
-    df = df.withColumns(lags)
+            lags[f"_row{i}"] = f"lag({value}, {i}) {series}"
+    df = df.selectExpr("*", *[f"{lag} AS {name}" for name, lag in lags.items()])
 
     def parts(name, rows):
-        inner, outer, _ = sizes[rows]
-        return [F.col(f"_{name}{inner}")] + [F.col(f"_{name}{inner}_{i}") for i in range(1, outer)]
+        n, outer, _ = sizes[rows]
+        return [f"_{name}{n}"] + [f"_{name}{n}_{i}" for i in range(1, outer)]
 
     def singles(rows):
-        return [F.col(f"_row{i}") for i in range(rows - sizes[rows][2], rows)]
+        return [f"_row{i}" for i in range(rows - sizes[rows][2], rows)]
 
     def mean(rows):
-        offsets = [(m - now) * sizes[rows][0] for m in parts("mean", rows)]
-        return now + _total(offsets + [x - now for x in singles(rows)]) / rows
+        n = sizes[rows][0]
+        offsets = [f"{n} * ({m} - {value})" for m in parts("mean", rows)]
+        offsets += [f"{x} - {value}" for x in singles(rows)]
+        return f"{value} + ({_sum(offsets)}) / {rows}"
 
     results = []
     if mean_rows:
-        results.append(mean(mean_rows).alias("rolling_mean"))
+        results.append(f"{mean(mean_rows)} AS rolling_mean")
     if std_rows == 1:
-        results.append(F.lit(None).cast("double").alias("rolling_std"))
+        results.append("CAST(NULL AS DOUBLE) AS rolling_std")
     elif std_rows:
-        df = df.withColumn("_center", mean(std_rows))
-        inner, center = sizes[std_rows][0], F.col("_center")
-        spread = [_square(m - center) * inner for m in parts("mean", std_rows)]
-        spread += [_square(x - center) for x in singles(std_rows)]
-        squares = _total(parts("squares", std_rows) + spread)
-        results.append(F.sqrt(squares / (std_rows - 1)).alias("rolling_std"))
-    return df.select(*kept, *results)
+        df = df.selectExpr("*", f"{mean(std_rows)} AS _center")
+        n = sizes[std_rows][0]
+        terms = parts("squares", std_rows)
+        terms += [f"{n} * ({m} - _center) * ({m} - _center)" for m in parts("mean", std_rows)]
+        terms += [f"({x} - _center) * ({x} - _center)" for x in singles(std_rows)]
+        results.append(f"sqrt(({_sum(terms)}) / {std_rows - 1}) AS rolling_std")
+    return df.selectExpr(*kept, *results)
 
 
 def rolling_stats(

@@ -39,6 +39,17 @@ def order_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shipment_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reading per order line: supplier as city, quantity as temperature."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias(CITY),
+        F.col("l_shipdate").alias(TIMESTAMP),
+        F.col("l_quantity").alias(TEMPERATURE),
+        season_name("l_shipdate").alias(SEASON),
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias(SEQ),
+    )
+
+
 def _payload_body(city, timestamp, temperature):
     """A good payload; the spread of temperatures is doubled so that some leave their band."""
     return F.to_json(
