@@ -12,7 +12,9 @@ OWN_BLOCK = "_own_block"
 POSITION = "_position"
 
 
-def number_rows(df: DataFrame, keys, order, rows: int, partition_rows: int) -> DataFrame:
+def number_rows(
+    df: DataFrame, keys, order, rows: int, partition_rows: int, folder: str | None = None
+) -> DataFrame:
     """Add `_position`, the exact 0-based place of each row in its series, without one task per series.
 
     The `rows` rows are sorted over the whole table by range partitions of about `partition_rows`
@@ -27,6 +29,7 @@ def number_rows(df: DataFrame, keys, order, rows: int, partition_rows: int) -> D
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id()),
         "sorted-series",
+        folder,
     )
     # Each partition border cuts one series at most, so there are at most partitions + series
     # segments: small beside the rows, which bounds the broadcast.
@@ -47,7 +50,9 @@ def number_rows(df: DataFrame, keys, order, rows: int, partition_rows: int) -> D
     )
 
 
-def split_series(df: DataFrame, keys, order, rows: int, series_rows: int, lead: int) -> DataFrame:
+def split_series(
+    df: DataFrame, keys, order, rows: int, series_rows: int, lead: int, folder: str | None = None
+) -> DataFrame:
     """Long series in blocks of a quarter of `series_rows`, led by the last `lead` rows before them.
 
     Rows carry `_block` (where they are used) and `_own_block` (where they belong). Positions are
@@ -58,7 +63,7 @@ def split_series(df: DataFrame, keys, order, rows: int, series_rows: int, lead:
     own = F.col(OWN_BLOCK)
     used_in = F.when(position % size >= size - lead, F.array(own, own + 1)).otherwise(F.array(own))
     return (
-        number_rows(df, keys, order, rows, max(series_rows, 1))
+        number_rows(df, keys, order, rows, max(series_rows, 1), folder)
         .withColumn(OWN_BLOCK, F.floor(position / size))
         .withColumn(BLOCK, F.explode(used_in))
         .drop(POSITION)

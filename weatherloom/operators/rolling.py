@@ -97,12 +97,14 @@ def rolling_stats(
     keys=(CITY,),
     series_rows: int = LONG_SERIES,
     value: str = TEMPERATURE,
+    folder: str | None = None,
 ) -> DataFrame:
     """Add `rolling_mean` and `rolling_std` over the last rows of each series, in time order.
 
     Rows are counted, not days. Both windows share one shuffle and one sort. Series of up to
     `series_rows` rows are one window partition; longer ones are cut into blocks. Rows without a key
-    belong to no series: they keep missing values and are spread over the cluster.
+    belong to no series: they keep missing values and are spread over the cluster. What long series
+    need on the way is written to scratch, or to `folder` if given.
     """
     keys = list(keys)
     has_key = F.lit(True)
@@ -120,14 +122,14 @@ def rolling_stats(
                 rolled = rolled.withColumn(name, F.when(has_key, F.col(name)))
         return rolled
 
-    long_keys, long_rows = long_series(readings, keys, series_rows)
+    long_keys, long_rows = long_series(readings, keys, series_rows, folder)
     if long_keys is None:
         return whole(readings)
 
     lead = max(mean_rows or 1, std_rows or 1) - 1
     short = readings.join(F.broadcast(long_keys), keys, "left_anti")
     long = readings.join(F.broadcast(long_keys), keys, "left_semi")
-    blocks = split_series(long, keys, SERIES_ORDER, long_rows, series_rows, lead)
+    blocks = split_series(long, keys, SERIES_ORDER, long_rows, series_rows, lead, folder)
     rolled = roll(blocks).where(F.col(BLOCK) == F.col(OWN_BLOCK)).drop(BLOCK, OWN_BLOCK)
     return whole(short).unionByName(rolled)
 
@@ -145,9 +147,13 @@ def rolling_anomalies(
     k: float = 2,
     keys=(CITY,),
     series_rows: int = LONG_SERIES,
+    folder: str | None = None,
 ) -> DataFrame:
     """All readings with rolling statistics and `is_anomaly`."""
-    return flag_anomalies(rolling_stats(readings, mean_rows, std_rows, keys, series_rows), k)
+    rolled = rolling_stats(
+        readings, mean_rows, std_rows, keys, series_rows=series_rows, folder=folder
+    )
+    return flag_anomalies(rolled, k)
 
 
 def anomalies_only(flagged: DataFrame) -> DataFrame:

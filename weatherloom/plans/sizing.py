@@ -22,19 +22,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/weatherloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the scratch folder and read it back.
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write `df` to a fresh scratch path, or over the same name in `folder`, and read it back.
 
     The result survives lost executors, is computed once, and has a known size, so that Catalyst
     broadcasts it only when it really is small.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path = f"{folder}/{name}" if folder else scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def long_series(readings: DataFrame, keys, series_rows: int):
+def long_series(readings: DataFrame, keys, series_rows: int, folder: str | None = None):
     """Series longer than `series_rows`, as (DataFrame of keys, their rows in total), or (None, 0).
 
     One scan of the key columns, combined before the shuffle. There are never more long series than
@@ -49,4 +49,4 @@ def long_series(readings: DataFrame, keys, series_rows: int):
     rows = sizes.agg(F.sum("n")).first()[0]
     if rows is None:
         return None, 0
-    return written(sizes.select(*keys), "long-series"), rows
+    return written(sizes.select(*keys), "long-series", folder), rows

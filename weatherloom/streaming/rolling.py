@@ -24,10 +24,6 @@ _ROLLED = (
 )
 
 
-def _latest(rows: DataFrame):
-    return rows.agg(F.max(TIMESTAMP)).first()[0]
-
-
 def _ntz(moment) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
@@ -53,7 +49,14 @@ class RollingStream:
         self.folder = folder
         self.delay = delay
         self.reach = max(mean_rows, std_rows) - 1
-        self.options = dict(mean_rows=mean_rows, std_rows=std_rows, k=k, series_rows=series_rows)
+        # Micro-batches follow each other, so each may write over the scratch of the one before.
+        self.options = dict(
+            mean_rows=mean_rows,
+            std_rows=std_rows,
+            k=k,
+            series_rows=series_rows,
+            folder=f"{folder}/scratch",
+        )
 
     def start(self, readings: DataFrame, **trigger):
         """Start the stream; returns the running query."""
@@ -103,15 +106,17 @@ class RollingStream:
                 carried.withColumn("batch", F.lit(-1).cast("bigint")).write.mode(
                     "overwrite"
                 ).parquet(self._slot(1))
-            known, seen = _latest(carried), _latest(arrived)
-            newest = max((t for t in (known, seen) if t is not None), default=None)
+            known = carried.agg(F.max(TIMESTAMP)).first()[0]
             time = F.col(TIMESTAMP)
             in_time = time.isNotNull()
             if known is not None:
                 in_time = in_time & (time >= _ntz(known - self.delay))
-            arrived.where(~in_time).write.mode("overwrite").parquet(
-                f"{self.folder}/late/{batch_id}"
-            )
+            seen, late = arrived.agg(F.max(TIMESTAMP), F.count_if(~in_time)).first()
+            newest = max((t for t in (known, seen) if t is not None), default=None)
+            if late or batch_id == 0:
+                arrived.where(~in_time).write.mode("overwrite").parquet(
+                    f"{self.folder}/late/{batch_id}"
+                )
             rows = carried.unionByName(
                 arrived.where(in_time).withColumn("done", F.lit(False))
             )
