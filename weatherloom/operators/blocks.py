@@ -63,7 +63,7 @@ def split_series(
     own = F.col(OWN_BLOCK)
     used_in = F.when(position % size >= size - lead, F.array(own, own + 1)).otherwise(F.array(own))
     return (
-        number_rows(df, keys, order, rows, max(series_rows, 1), folder)
+        number_rows(df, keys, order, rows, size, folder)
         .withColumn(OWN_BLOCK, F.floor(position / size))
         .withColumn(BLOCK, F.explode(used_in))
         .drop(POSITION)
