@@ -1,3 +1,4 @@
+import os
 from types import SimpleNamespace
 
 import pandas as pd
@@ -11,19 +12,29 @@ from weatherloom.plans import sizing
 
 def session(setting, master):
     conf = SimpleNamespace(get=lambda name, default=None: setting)
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    context = SimpleNamespace(master=master, applicationId="app-1")
+    return SimpleNamespace(conf=conf, sparkContext=context)
 
 
 def test_scratch_is_below_the_shared_folder():
-    path = sizing.scratch_path(session("hdfs://shared/checkpoints/", "yarn"), "x")
-    assert path.startswith("hdfs://shared/checkpoints/weatherloom/x-")
-    assert path != sizing.scratch_path(session("hdfs://shared/checkpoints/", "yarn"), "x")
+    root = sizing.scratch_root(session("hdfs://shared/checkpoints/", "yarn"))
+    assert root == "hdfs://shared/checkpoints/weatherloom/app-1"
 
 
-def test_a_cluster_without_shared_folder_is_refused():
+def test_every_scratch_path_is_new_and_can_be_discarded(spark):
+    path = sizing.scratch_path(spark, "x")
+    assert path.startswith(sizing.scratch_root(spark)) and path != sizing.scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path)
+    sizing.discard(spark, path)
+    assert not os.path.exists(path)
+
+
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[3,2,2000]", "spark://host:7077"])
+def test_a_cluster_without_shared_folder_is_refused(master):
     with pytest.raises(ValueError):
-        sizing.scratch_path(session(None, "yarn"), "x")
-    assert sizing.scratch_path(session(None, "local[2]"), "x")
+        sizing.scratch_root(session(None, master))
+    assert sizing.scratch_root(session(None, "local[2]"))
 
 
 def test_only_long_series_are_found(make, history):

@@ -1,5 +1,6 @@
-"""Shared scratch folder, small written tables, and the check for over-long series."""
+"""Shared scratch folder, written small tables, and the check for over-long series."""
 
+import re
 import tempfile
 import uuid
 
@@ -11,22 +12,51 @@ from ..functions.rows import present
 # A series of at most this many rows is sorted in one task (some hundred megabytes, and it can spill).
 LONG_SERIES = 4_000_000
 
+_roots: set[str] = set()
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder named by spark.checkpoint.dir."""
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system that holds `path`, and the path as it knows it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder in the shared folder named by spark.checkpoint.dir.
+
+    Only a session that runs in one process may fall back to its temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/weatherloom/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/weatherloom/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the application's scratch folder, which goes when the application ends."""
+    root = scratch_root(spark)
+    if root not in _roots:
+        fs, at = _file_system(spark, root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _roots.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch paths that nothing reads any more."""
+    for path in paths:
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
 
 
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write `df` to a fresh scratch path, or over the same name in `folder`, and read it back.
 
-    The result survives lost executors, is computed once, and has a known size, so that Catalyst
-    broadcasts it only when it really is small.
+    This runs a job at once. The result survives lost executors, is computed once, and has a known
+    size, so that Catalyst broadcasts it only when it really is small.
     """
     spark = df.sparkSession
     path = f"{folder}/{name}" if folder else scratch_path(spark, name)
