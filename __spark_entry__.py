@@ -23,7 +23,7 @@ from weatherloom.operators import (
     trend,
 )
 from weatherloom.plans import analysis
-from weatherloom.plans.sizing import scratch_path, written
+from weatherloom.plans.sizing import scratch_path
 from weatherloom.sources import payloads, readings, standins, synthetic
 from weatherloom.streaming import daily, monitor
 from weatherloom.streaming.rolling import RollingStream
@@ -490,6 +490,19 @@ QUERIES = {
 }
 
 
+# The operators for training text, and the pipeline of them, are added where they are there.
+try:
+    import corpus_pipeline
+    from weatherloom.llm import queries as text_queries
+except ImportError:
+    TEXT_QUERIES, TEXT_ORACLE = {}, {}
+else:
+    TEXT_QUERIES = {"pipeline": corpus_pipeline.run, **text_queries.QUERIES}
+    TEXT_ORACLE = dict(text_queries.ORACLE)
+    if corpus_pipeline.ORACLE_SQL:
+        TEXT_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def _registered(query):
     return lambda spark, sf_dir: rounded(query(spark, sf_dir))
 
@@ -501,7 +514,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> function of (spark, folder of the tables)."""
-    return {name: _registered(query) for name, query in QUERIES.items()}
+    return {name: _registered(query) for name, query in QUERIES.items()} | TEXT_QUERIES
 
 
 # --- the same in SQL ---------------------------------------------------------------------------
@@ -877,5 +890,5 @@ SELECT city, timestamp::DATE AS day, {_MEAN} FROM readings GROUP BY 1, 2""",
 
 
 def oracle_sql() -> dict[str, str]:
-    """Query name -> SQL with the same result. Generated noise has none."""
-    return dict(ORACLE)
+    """Query name -> SQL with the same result, for the queries that SQL can express."""
+    return ORACLE | TEXT_ORACLE
