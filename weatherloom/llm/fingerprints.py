@@ -30,188 +30,98 @@ ROUNDS = 12
 GROUP_BITS = 12
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+# The expressions below are SQL text: nested functions of arrays, whose names must differ by level.
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """`body`, in which `name` stands for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 # --- sketches ------------------------------------------------------------------------------------
 
 
-def paragraph_keys(text: Column) -> Column:
+def paragraph_keys(text: str) -> Column:
     """Keys of the paragraphs of a text: one for each different line and its number of occurrences."""
-    lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != F.lit(""))
-    hashes = F.array_sort(F.transform(lines, lambda line: F.xxhash64(F.lit("paragraph"), line)))
-
-    def keys(ordered):
-        places = F.sequence(F.lit(0), F.size(ordered))
-        # Where a new hash begins, and the end.
-        firsts = F.filter(
-            places,
-            lambda i: (i == 0)
-            | (i == F.size(ordered))
-            | (F.get(ordered, i) != F.get(ordered, i - F.lit(1))),
-        )
-        return _let(
-            firsts,
-            lambda at: F.transform(
-                F.slice(at, F.lit(1), F.size(at) - F.lit(1)),
-                lambda first, i: F.xxhash64(
-                    F.get(ordered, first), F.get(at, i + F.lit(1)) - first
-                ),
-            ),
-        )
-
-    empty = F.array().cast("array<bigint>")
-    return _let(hashes, lambda found: F.when(F.size(found) == 0, empty).otherwise(keys(found)))
+    hashes = f"""array_sort(transform(
+        filter(split({text}, '\n'), line -> trim(line) <> ''), line -> xxhash64('paragraph', line)))"""
+    # Places where a new hash begins, and the end.
+    firsts = """filter(sequence(0, size(found)), i ->
+        i = 0 OR i = size(found) OR get(found, i) <> get(found, i - 1))"""
+    keys = """transform(slice(begins, 1, size(begins) - 1), (begin, j) ->
+        xxhash64(get(found, begin), get(begins, j + 1) - begin))"""
+    some = _let(firsts, "begins", keys)
+    none = "cast(array() AS array<bigint>)"
+    return F.expr(_let(hashes, "found", f"IF(size(found) = 0, {none}, {some})"))
 
 
-def _check(key: Column) -> Column:
-    return F.xxhash64(F.lit("check"), key).bitwiseAND(F.lit(0xFFFFFFFF))
+def _check(key: str) -> str:
+    return f"xxhash64('check', {key}) & 4294967295"
 
 
-def _placed(key: Column, cells: int, seed: int) -> Column:
+def _placed(key: str, cells: int, seed: int) -> str:
     """A key with its check and its cell in each third."""
     third = cells // 3
-    hash_ = F.xxhash64(F.lit(seed), key)
-
-    def place(i):
-        bits = F.shiftrightunsigned(hash_, 21 * i).bitwiseAND(F.lit(0x1FFFFF))
-        return (F.pmod(bits, F.lit(third)) + F.lit(i * third)).cast("int")
-
-    return F.struct(
-        key.alias("k"),
-        _check(key).alias("c"),
-        place(0).alias("p0"),
-        place(1).alias("p1"),
-        place(2).alias("p2"),
-    )
-
-
-def _holds(placed: Column, cell: Column) -> Column:
-    return (placed["p0"] == cell) | (placed["p1"] == cell) | (placed["p2"] == cell)
-
-
-def _cell(n: Column, k: Column, c: Column) -> Column:
-    return F.struct(n.alias("n"), k.alias("k"), c.alias("c"))
+    places = [
+        f"""'p{i}', cast(pmod(shiftrightunsigned(xxhash64({seed}, {key}), {21 * i}) & 2097151,
+        {third}) + {i * third} AS int)"""
+        for i in range(3)
+    ]
+    return f"named_struct('k', {key}, 'c', {_check(key)}, {', '.join(places)})"
 
 
-def sketch(keys: Column, cells: int = CELLS, seed: int = 0) -> Column:
+def sketch(keys: str, cells: int = CELLS, seed: int = 0) -> str:
     """Cells (n, k, c) of a set of keys. Equal sets have equal sketches."""
-    zero, third = F.lit(0).cast("bigint"), cells // 3
-
-    def cells_of(placed, i):
-        return F.transform(
-            F.sequence(F.lit(i * third), F.lit((i + 1) * third - 1)),
-            lambda cell: F.aggregate(
-                placed,
-                _cell(F.lit(0), zero, zero),
-                lambda sums, key: F.when(
-                    key[f"p{i}"] == cell,
-                    _cell(
-                        sums["n"] + F.lit(1),
-                        sums["k"].bitwiseXOR(key["k"]),
-                        sums["c"].bitwiseXOR(key["c"]),
-                    ),
-                ).otherwise(sums),
-            ),
-        )
-
-    return _let(
-        F.transform(keys, lambda key: _placed(key, cells, seed)),
-        lambda placed: F.concat(*[cells_of(placed, i) for i in range(3)]),
-    )
+    third = cells // 3
+    thirds = [
+        f"""transform(sequence({i * third}, {(i + 1) * third - 1}), cell -> aggregate(placed,
+          named_struct('n', 0, 'k', 0L, 'c', 0L),
+          (sums, key) -> IF(key.p{i} = cell,
+            named_struct('n', sums.n + 1, 'k', sums.k ^ key.k, 'c', sums.c ^ key.c), sums)))"""
+        for i in range(3)
+    ]
+    placed = f"transform({keys}, key -> {_placed('key', cells, seed)})"
+    return _let(placed, "placed", f"concat({', '.join(thirds)})")
 
 
-def subtract(left: Column, right: Column) -> Column:
+def subtract(left: str, right: str) -> str:
     """Cells of the keys that only one of two sketches has."""
-    return F.zip_with(
-        left,
-        right,
-        lambda a, b: _cell(
-            a["n"] - b["n"], a["k"].bitwiseXOR(b["k"]), a["c"].bitwiseXOR(b["c"])
-        ),
-    )
+    return f"""zip_with({left}, {right}, (a, b) ->
+        named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'c', a.c ^ b.c))"""
 
 
-def peel(difference: Column, cells: int = CELLS, seed: int = 0) -> Column:
+def peel(difference: str, cells: int = CELLS, seed: int = 0) -> str:
     """struct(only_left, only_right, complete): the keys recovered from a difference."""
-
-    def step(state, _):
-        alone = F.array_distinct(
-            F.transform(
-                F.filter(
-                    state["cells"],
-                    lambda cell: (F.abs(cell["n"]) == 1) & (cell["c"] == _check(cell["k"])),
-                ),
-                lambda cell: F.struct(
-                    cell["n"].alias("n"), _placed(cell["k"], cells, seed).alias("at")
-                ),
-            )
-        )
-
-        def taken_out(found):
-            rest = F.transform(
-                state["cells"],
-                lambda cell, i: F.aggregate(
-                    found,
-                    cell,
-                    lambda sums, key: F.when(
-                        _holds(key["at"], i),
-                        _cell(
-                            sums["n"] - key["n"],
-                            sums["k"].bitwiseXOR(key["at"]["k"]),
-                            sums["c"].bitwiseXOR(key["at"]["c"]),
-                        ),
-                    ).otherwise(sums),
-                ),
-            )
-            keys = F.transform(
-                found, lambda key: F.struct(key["n"].alias("n"), key["at"]["k"].alias("k"))
-            )
-            taken = F.struct(rest.alias("cells"), F.concat(state["found"], keys).alias("found"))
-            return F.when(F.size(found) == 0, state).otherwise(taken)
-
-        return _let(alone, taken_out)
-
-    start = F.struct(
-        difference.alias("cells"), F.array().cast("array<struct<n: int, k: bigint>>").alias("found")
-    )
-
-    def result(state):
-        def side(n):
-            return F.transform(F.filter(state["found"], lambda f: f["n"] == n), lambda f: f["k"])
-
-        empty = F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0))
-        return F.struct(
-            side(1).alias("only_left"), side(-1).alias("only_right"), empty.alias("complete")
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, result)
+    alone = f"""array_distinct(transform(
+        filter(state.cells, cell -> abs(cell.n) = 1 AND cell.c = ({_check('cell.k')})),
+        cell -> named_struct('n', cell.n, 'at', {_placed('cell.k', cells, seed)})))"""
+    rest = """transform(state.cells, (cell, i) -> aggregate(taken, cell, (sums, key) ->
+        IF(key.at.p0 = i OR key.at.p1 = i OR key.at.p2 = i,
+          named_struct('n', sums.n - key.n, 'k', sums.k ^ key.at.k, 'c', sums.c ^ key.at.c), sums)))"""
+    found = "concat(state.found, transform(taken, key -> named_struct('n', key.n, 'k', key.at.k)))"
+    after = f"IF(size(taken) = 0, state, named_struct('cells', {rest}, 'found', {found}))"
+    sides = [
+        f"'{name}', transform(filter(state.found, f -> f.n = {n}), f -> f.k)"
+        for name, n in (("only_left", 1), ("only_right", -1))
+    ]
+    return f"""aggregate(sequence(1, {ROUNDS}),
+        named_struct('cells', {difference},
+          'found', cast(array() AS array<struct<n: int, k: bigint>>)),
+        (state, _) -> {_let(alone, 'taken', after)},
+        state -> named_struct({', '.join(sides)},
+          'complete', forall(state.cells, c -> c.n = 0 AND c.k = 0 AND c.c = 0)))"""
 
 
-def difference(left_keys: Column, right_keys: Column, cells: int, seed: int = 0) -> Column:
+def difference(left_keys: str, right_keys: str, cells: int, seed: int = 0) -> str:
     """What `peel` recovers of two sets of keys through sketches of this size."""
     both = subtract(sketch(left_keys, cells, seed), sketch(right_keys, cells, seed))
     return peel(both, cells, seed)
 
 
-def sketch_text(cells: Column) -> Column:
+def sketch_text(cells: str) -> Column:
     """A sketch as text; empty cells are empty."""
-    return F.array_join(
-        F.transform(
-            cells,
-            lambda cell: F.when(cell["n"] == 0, F.lit("")).otherwise(
-                F.concat_ws(
-                    ":",
-                    F.hex(cell["n"].cast("bigint")),
-                    F.lpad(F.hex(cell["k"]), 16, "0"),
-                    F.lpad(F.hex(cell["c"]), 8, "0"),
-                )
-            ),
-        ),
-        ",",
-    )
+    return F.expr(f"""array_join(transform({cells}, cell -> IF(cell.n = 0, '', concat_ws(':',
+        hex(cast(cell.n AS bigint)), lpad(hex(cell.k), 16, '0'), lpad(hex(cell.c), 8, '0')))), ',')""")
 
 
 # --- differences of any size ---------------------------------------------------------------------
@@ -228,12 +138,8 @@ def key_differences(pairs: DataFrame) -> DataFrame:
         "pair",
         F.lit(0).cast("bigint").alias("part"),
         F.greatest(F.ceil((F.size("left") + F.size("right")) / DEALT_KEYS), F.lit(1)).alias("n"),
-        F.explode(
-            F.concat(
-                F.transform("left", lambda k: F.struct(F.lit(1).alias("side"), k.alias("k"))),
-                F.transform("right", lambda k: F.struct(F.lit(-1).alias("side"), k.alias("k"))),
-            )
-        ).alias("key"),
+        F.expr("""explode(concat(transform(left, k -> named_struct('side', 1, 'k', k)),
+            transform(right, k -> named_struct('side', -1, 'k', k))))""").alias("key"),
     )
     done, seed = [], 1
     while True:
@@ -248,9 +154,9 @@ def key_differences(pairs: DataFrame) -> DataFrame:
         groups = dealt.groupBy("pair", "part").agg(F.collect_list("key").alias("keys"))
 
         def side(n):
-            return F.transform(F.filter("keys", lambda k: k["side"] == n), lambda k: k["k"])
+            return f"transform(filter(keys, k -> k.side = {n}), k -> k.k)"
 
-        found = groups.withColumn("found", difference(side(1), side(-1), CELLS, seed))
+        found = groups.withColumn("found", F.expr(difference(side(1), side(-1), CELLS, seed)))
         found = found.select(
             "pair",
             "part",
@@ -274,13 +180,13 @@ def key_differences(pairs: DataFrame) -> DataFrame:
     return written(total.groupBy("pair").agg(*sums), "key-differences")
 
 
-def likeness(n_left: Column, n_right: Column, sizes: Column) -> Column:
+def likeness(n_left: str, n_right: str, sizes: str) -> str:
     """Shared keys among all keys of two texts, from the keys that only one has; 1 if both are empty.
 
     `sizes`: number of keys of both texts together.
     """
-    apart = n_left + n_right
-    return F.when(sizes == 0, F.lit(1.0)).otherwise((sizes - apart) / (sizes + apart))
+    apart = f"({n_left} + {n_right})"
+    return f"IF({sizes} = 0, 1.0D, cast({sizes} - {apart} AS double) / nullif({sizes} + {apart}, 0))"
 
 
 # --- the next document ---------------------------------------------------------------------------
@@ -379,44 +285,27 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         "doc_id",
         F.length("text").cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        paragraph_keys(F.col("text")).alias("own"),
-        paragraph_keys(F.col("edited")).alias("edited"),
-        paragraph_keys(F.col("next_text")).alias("next"),
+        paragraph_keys("text").alias("own"),
+        paragraph_keys("edited").alias("edited"),
+        paragraph_keys("next_text").alias("next"),
     )
     keyed = written(keyed, "paragraph-keys")
     other = {"near_edited": "edited", "near_next": "next"}
-    first = keyed.select(
-        "*",
-        sketch(F.col("own")).alias("own_cells"),
-        sketch(F.col("edited")).alias("edited_cells"),
-        sketch(F.col("next")).alias("next_cells"),
-    )
-    peeled = first.select(
-        *keyed.columns,
-        sketch_text(F.col("own_cells")).alias("fingerprint"),
-        sketch_text(F.col("edited_cells")).alias("edited_fingerprint"),
-        *[
-            peel(subtract(F.col("own_cells"), F.col(f"{keys}_cells"))).alias(name)
-            for name, keys in other.items()
-        ],
-    )
-    def closeness(found, keys):
-        sizes = F.size("own") + F.size(keys)
-
-        def near(found):
-            apart = likeness(F.size(found["only_left"]), F.size(found["only_right"]), sizes)
-            return F.when(found["complete"], apart)
 
-        return _let(found, near)
+    def closeness(found, keys):
+        sizes = f"(size(own) + size({keys}))"
+        near = likeness("size(found.only_left)", "size(found.only_right)", sizes)
+        return F.expr(_let(found, "found", f"IF(found.complete, {near}, NULL)"))
 
-    sketches = ["own", "edited", "next"]
-    result = keyed.select("*", *[sketch(F.col(k)).alias(f"{k}_cells") for k in sketches])
+    result = keyed.select(
+        "*", *[F.expr(sketch(k)).alias(f"{k}_cells") for k in ("own", "edited", "next")]
+    )
     result = result.select(
         *keyed.columns,
-        sketch_text(F.col("own_cells")).alias("fingerprint"),
-        sketch_text(F.col("edited_cells")).alias("edited_fingerprint"),
+        sketch_text("own_cells").alias("fingerprint"),
+        sketch_text("edited_cells").alias("edited_fingerprint"),
         *[
-            closeness(peel(subtract(F.col("own_cells"), F.col(f"{keys}_cells"))), keys).alias(name)
+            closeness(peel(subtract("own_cells", f"{keys}_cells")), keys).alias(name)
             for name, keys in other.items()
         ],
     )
@@ -424,7 +313,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
         def retried(name, keys):
             small = F.size("own") + F.size(keys) <= cells * 3 // 4
-            again = closeness(difference(F.col("own"), F.col(keys), cells), keys)
+            again = closeness(difference("own", keys, cells), keys)
+            # A pair with more keys is not worth this size.
             return F.when(F.col(name).isNull() & small, again).otherwise(F.col(name))
 
         result = result.withColumns({name: retried(name, keys) for name, keys in other.items()})
@@ -441,7 +331,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         own = apart.where(F.col("pair") % 2 == i).select(
             F.shiftright("pair", 1).alias("row"), "n_left", "n_right"
         )
-        near = likeness(F.col("n_left"), F.col("n_right"), F.size("own") + F.size(keys))
+        near = F.expr(likeness("n_left", "n_right", f"(size(own) + size({keys}))"))
         result = result.join(own, "row", "left").withColumn(name, F.coalesce(F.col(name), near))
         result = result.drop("n_left", "n_right")
     return result.select(
