@@ -204,7 +204,7 @@ def previous_groups(groups: DataFrame, low: int, high: int) -> DataFrame:
         return groups.select("g", F.lag("g").over(all_of_them).alias("previous"))
     upper = groups.withColumn("upper", F.shiftright("g", GROUP_BITS))
     within = Window.partitionBy("upper").orderBy("g")
-    lasts = upper.groupBy("upper").agg(F.max("g").alias("last"))
+    lasts = written(upper.groupBy("upper").agg(F.max("g").alias("last")), "last-groups")
     before = previous_groups(
         lasts.select(F.col("upper").alias("g")), low >> GROUP_BITS, high >> GROUP_BITS
     )

@@ -11,8 +11,7 @@ a guarantee, not a probability.
 
 A masked value that many different fingerprints share is not compared in full. As its members agree
 on all masked bits, the same construction on the remaining bits splits it into 15 smaller tables,
-which again miss no pair; a few such rounds leave at most a handful of free bits, and so a bounded
-number of members. Small groups are compared with numpy and give a star per cluster, not all pairs.
+which again miss no pair; two such rounds leave at most 8 free bits, and so at most 256 members. Small groups are compared with numpy and give a star per cluster, not all pairs.
 """
 
 import numpy as np
@@ -30,6 +29,8 @@ SEED = 42
 BITS = 64
 # A masked value with more members is split by further masks.
 MOST_MEMBERS = 256
+# Masks that leave this many bits free cannot have larger groups than 2 ** FREE_BITS: they are final.
+FREE_BITS = 8
 # Shingles are hashed and counted in blocks.
 _HASH_BLOCK = 1 << 15
 
@@ -142,7 +143,8 @@ def fingerprint_links(
         sizes = values.groupBy("t", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sizes = written(sizes, "group-sizes")
         shared = values.join(sizes, ["t", "value"])
-        # No free bits are left when a group could not have that many members any more.
+        if max(BITS - m.bit_count() for m in masks[-1]) <= FREE_BITS:
+            most_members = 1 << FREE_BITS
         groups = (
             shared.where(F.col("n") <= most_members)
             .groupBy("t", "value")
