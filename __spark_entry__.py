@@ -127,6 +127,11 @@ def slice_40_50(spark, sf_dir):
     return profiles.rows_between(orders(spark, sf_dir), 40, 50)
 
 
+def slice_deep(spark, sf_dir):
+    """Far down the table; beyond the end of the smallest one."""
+    return profiles.rows_between(orders(spark, sf_dir), 9_000, 9_010)
+
+
 # --- rolling statistics and anomalies ----------------------------------------------------------
 
 
@@ -144,10 +149,9 @@ def rolling_within_season(spark, sf_dir):
 
 
 def rolling_long_series(spark, sf_dir):
-    """The same as rolling_30_7, with series of more than a thirtieth of all rows cut into blocks."""
+    """The same as rolling_30_7, with series of more than 500 rows cut into blocks."""
     rows = orders(spark, sf_dir)
-    limit = rows.count() // 30
-    return rolling.rolling_stats(rows, 30, 7, series_rows=limit).select(*ROLLED)
+    return rolling.rolling_stats(rows, 30, 7, series_rows=500).select(*ROLLED)
 
 
 def anomaly_flags_30_7(spark, sf_dir):
@@ -309,6 +313,11 @@ def recommend_city(spark, sf_dir):
     return recommend.recommend_city(orders(spark, sf_dir), "Summer", 20, 30)
 
 
+def recommend_nothing(spark, sf_dir):
+    """No city is that hot: an empty result with the usual columns."""
+    return recommend.recommend_city(orders(spark, sf_dir), "Summer", 900, 901)
+
+
 def recommend_with_current(spark, sf_dir):
     return recommend.recommend_with_current(
         orders(spark, sf_dir), latest(spark, sf_dir), "Summer", 20, 30
@@ -373,11 +382,11 @@ def _means(spark, sf_dir):
 
 
 def synthetic_calendar(spark, sf_dir):
-    return synthetic.synthetic_calendar(_means(spark, sf_dir), years=2)
+    return synthetic.synthetic_calendar(_means(spark, sf_dir))
 
 
 def synthetic_readings(spark, sf_dir):
-    return synthetic.synthetic_readings(_means(spark, sf_dir), years=2, seed=42)
+    return synthetic.synthetic_readings(_means(spark, sf_dir), seed=42)
 
 
 # --- streams -----------------------------------------------------------------------------------
@@ -435,6 +444,7 @@ QUERIES = {
     "city_frequency": city_frequency,
     "tail5_by_city": tail5_by_city,
     "slice_40_50": slice_40_50,
+    "slice_deep": slice_deep,
     "rolling_30_7": rolling_30_7,
     "rolling_30_30": rolling_30_30,
     "rolling_within_season": rolling_within_season,
@@ -474,6 +484,7 @@ QUERIES = {
     "compare_cities_of_region": compare_cities_of_region,
     "suitable_rows": suitable_rows,
     "recommend_city": recommend_city,
+    "recommend_nothing": recommend_nothing,
     "recommend_with_current": recommend_with_current,
     "calendar_columns": calendar_columns,
     "same_day_and_month": same_day_and_month,
@@ -773,6 +784,7 @@ QUALIFY row_number() OVER (PARTITION BY city ORDER BY timestamp DESC, seq DESC)
     "rolling_30_7": f"{_with(_rolled(30, 7))} SELECT {_ROLLED} FROM rolled",
     "rolling_30_30": f"{_with(_rolled(30, 30))} SELECT {_ROLLED} FROM rolled",
     "rolling_within_season": f"{_with(_rolled(30, 7, 'city, season'))} SELECT {_ROLLED}, season FROM rolled",
+    "slice_deep": f"{_with()} SELECT {_READING} FROM readings ORDER BY readings.seq LIMIT 10 OFFSET 9000",
     "rolling_long_series": f"{_with(_rolled(30, 7))} SELECT {_ROLLED} FROM rolled",
     "anomaly_flags_30_7": f"{_with(_rolled(30, 7))} SELECT {_FLAGGED} FROM flagged",
     "anomalies_30_7": f"{_with(_rolled(30, 7))} SELECT {_FLAGGED} FROM flagged WHERE is_anomaly",
@@ -834,6 +846,7 @@ SELECT city, {_MEAN} FROM readings
 WHERE city IN (SELECT n_name FROM nation WHERE n_regionkey = 2) GROUP BY city""",
     "suitable_rows": f"{_with()} SELECT {_READING} FROM readings WHERE {_SUITABLE}",
     "recommend_city": f"{_with(_WINNER)} SELECT * FROM winner",
+    "recommend_nothing": f"{_with(_WINNER)} SELECT * FROM winner WHERE false",
     "recommend_with_current": f"""{_with(LATEST_SQL, _WINNER)}
 SELECT winner.city, n, observed_at, {_r('temp_k', 'temp_k')}, {_r('temp_c', 'temp_c')}
 FROM winner LEFT JOIN latest ON winner.city = latest.city""",
@@ -867,7 +880,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 means AS (
   SELECT city, season, {_r('avg(temperature)', 'mean_temp')} FROM readings GROUP BY city, season
 ),
-days AS (SELECT unnest(range(0, 730)) AS seq),
+days AS (SELECT unnest(range(0, 3650)) AS seq),
 dated AS (SELECT seq, (DATE '2010-01-01' + seq::INTEGER)::TIMESTAMP AS timestamp FROM days),
 cities AS (SELECT DISTINCT city FROM readings),
 product AS (SELECT city, timestamp, {_season('timestamp')} AS season, seq FROM cities, dated)

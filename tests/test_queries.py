@@ -44,7 +44,7 @@ def rows_of(columns, rows):
     return sorted(plain_rows, key=lambda row: tuple((v is None, str(v)) for v in row))
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(registered.QUERIES))
 def test_query(spark, duck, name):
     df = registered.queries()[name](spark, SMALL)
     plan = df._jdf.queryExecution().toString()
@@ -52,7 +52,7 @@ def test_query(spark, duck, name):
         assert forbidden not in plan
     got = df.collect()
     assert df.columns and len(set(df.columns)) == len(df.columns)
-    if name not in registered.oracle_sql():
+    if name not in registered.ORACLE:
         assert got
         return
     relation = duck.sql(registered.oracle_sql()[name])
@@ -63,7 +63,7 @@ def test_query(spark, duck, name):
 
 
 def test_only_generated_noise_has_no_sql():
-    assert set(registered.queries()) - set(registered.oracle_sql()) == {"synthetic_readings"}
+    assert set(registered.QUERIES) - set(registered.ORACLE) == {"synthetic_readings"}
     assert set(registered.oracle_sql()) <= set(registered.queries())
 
 
@@ -98,7 +98,7 @@ def test_a_city_filter_passes_below_the_window(spark, make, history, tmp_path):
 
 def test_top_k_and_tails_are_cut_before_the_shuffle(spark):
     queries = registered.queries()
-    for name in ("warmest_winter_top3", "most_stable_city", "slice_40_50", "recommend_city"):
+    for name in ("warmest_winter_top3", "most_stable_city", "recommend_city"):
         assert "TakeOrderedAndProject" in physical(queries[name](spark, SMALL))
     for name in ("tail5_by_city", "season_analysis"):
         plan = physical(queries[name](spark, SMALL))

@@ -10,6 +10,8 @@ from ..plans.sizing import written
 BLOCK = "_block"
 OWN_BLOCK = "_own_block"
 POSITION = "_position"
+# Rows of a range partition of the sorted table: some 200 MB, whatever the length of a block.
+PARTITION_ROWS = 4_000_000
 
 
 def number_rows(
@@ -22,7 +24,7 @@ def number_rows(
     instant of a key, holds most rows. The sorted table is written once, so partition and row ids
     stay fixed.
     """
-    partitions = max(1, math.ceil(rows / partition_rows))
+    partitions = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / partition_rows))
     sorted_rows = written(
         df.repartitionByRange(partitions, *keys, *order)
         .sortWithinPartitions(*keys, *order)
@@ -32,7 +34,7 @@ def number_rows(
         folder,
     )
     # Each partition border cuts one series at most, so there are at most partitions + series
-    # segments: small beside the rows, which bounds the broadcast.
+    # segments: small beside the rows.
     segments = sorted_rows.groupBy(*keys, "_part").agg(
         F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
@@ -44,7 +46,7 @@ def number_rows(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
     )
     return (
-        sorted_rows.join(F.broadcast(starts), [*keys, "_part"])
+        sorted_rows.join(starts, [*keys, "_part"])
         .withColumn(POSITION, F.col("_start") + F.col("_row") - F.col("_first"))
         .drop("_part", "_row", "_first", "_start")
     )
@@ -63,7 +65,7 @@ def split_series(
     own = F.col(OWN_BLOCK)
     used_in = F.when(position % size >= size - lead, F.array(own, own + 1)).otherwise(F.array(own))
     return (
-        number_rows(df, keys, order, rows, size, folder)
+        number_rows(df, keys, order, rows, PARTITION_ROWS, folder)
         .withColumn(OWN_BLOCK, F.floor(position / size))
         .withColumn(BLOCK, F.explode(used_in))
         .drop(POSITION)

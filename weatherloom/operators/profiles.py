@@ -11,9 +11,7 @@ from ..functions.calendar import (
     season_number,
 )
 from ..functions.rows import present
-from ..plans.sizing import LONG_SERIES
 from ..schema import CITY, SEASON, SEQ, SERIES_ORDER, TEMPERATURE, TIMESTAMP
-from .blocks import POSITION, number_rows
 
 
 def season_profile(readings: DataFrame) -> DataFrame:
@@ -25,6 +23,7 @@ def season_profile(readings: DataFrame) -> DataFrame:
             F.avg(TEMPERATURE).alias("mean"),
             F.stddev_samp(TEMPERATURE).alias("std"),
         )
+        .orderBy(CITY, SEASON)
     )
 
 
@@ -41,6 +40,7 @@ def seasonal_profile(readings: DataFrame, city: str | None = None) -> DataFrame:
             F.max(TEMPERATURE).alias("max"),
             F.min(TEMPERATURE).alias("min"),
         )
+        .orderBy(CITY, "season_number")
     )
 
 
@@ -73,7 +73,7 @@ def season_summary(readings: DataFrame, season=None) -> DataFrame:
 
 
 def city_means(readings: DataFrame) -> DataFrame:
-    return present(readings, CITY).groupBy(CITY).agg(F.avg(TEMPERATURE).alias("mean"))
+    return present(readings, CITY).groupBy(CITY).agg(F.avg(TEMPERATURE).alias("mean")).orderBy(CITY)
 
 
 def daily_mean(readings: DataFrame, *keys) -> DataFrame:
@@ -82,13 +82,17 @@ def daily_mean(readings: DataFrame, *keys) -> DataFrame:
         present(readings, TIMESTAMP, *keys)
         .groupBy(*keys, calendar_date(TIMESTAMP).alias("day"))
         .agg(F.avg(TEMPERATURE).alias("mean"))
+        .orderBy(*keys, "day")
     )
 
 
 def warmest_in_season(readings: DataFrame, season: str = "winter", n: int = 3) -> DataFrame:
-    """The n cities with the highest mean in a stored season; equal means go by name."""
+    """The n cities with the highest mean in a stored season; equal means go by name.
+
+    The season is given by name or label, and stored as either.
+    """
     return (
-        city_means(readings.where(F.col(SEASON) == season))
+        city_means(readings.where(F.col(SEASON).isin(season.lower(), season.capitalize())))
         .orderBy(F.desc_nulls_last("mean"), CITY)
         .limit(n)
     )
@@ -164,14 +168,36 @@ def last_rows(readings: DataFrame, n: int = 5, keys=(CITY,)) -> DataFrame:
     return rows_from_end(readings, n, keys).drop("from_end")
 
 
-def rows_between(readings: DataFrame, start: int, stop: int, near: int = 100_000) -> DataFrame:
-    """Rows start .. stop - 1 of the table, counted from 0 in table order.
+def seq_at(readings: DataFrame, place: int, bins: int = 1000) -> int | None:
+    """The `seq` of the row at `place` in table order, counted from 0; None beyond the end.
 
-    A slice near the top is a top-k. A deep one would drag all rows before it through one task, so
-    there the rows are numbered over range partitions.
+    Counts of equal ranges of `seq`, narrowed until one value is left: a few jobs over that column,
+    of which at most `bins` counts each reach the driver.
+    """
+    low, high, n = readings.agg(F.min(SEQ), F.max(SEQ), F.count(SEQ)).first()
+    if place >= n:
+        return None
+    while low < high:
+        width = -(-(high - low + 1) // bins)
+        inside = readings.where(F.col(SEQ).between(low, high))
+        counts = inside.groupBy(F.expr(f"({SEQ} - {low}) div {width}").alias("bin")).count()
+        for row in counts.orderBy("bin").collect():
+            if place < row["count"]:
+                low, high = low + row["bin"] * width, min(high, low + (row["bin"] + 1) * width - 1)
+                break
+            place -= row["count"]
+    return low
+
+
+def rows_between(readings: DataFrame, start: int, stop: int) -> DataFrame:
+    """Rows start .. stop - 1 of the table, in table order, counted from 0.
+
+    The bounds in `seq` are found by counting, at once; the slice is then a filter on `seq` that
+    reaches the files, however deep it lies.
     """
-    if stop <= near:
-        return readings.orderBy(SEQ).offset(start).limit(stop - start)
-    place = F.col(POSITION)
-    numbered = number_rows(readings, [], [SEQ], readings.count(), LONG_SERIES)
-    return numbered.where((place >= start) & (place < stop)).drop(POSITION)
+    first = seq_at(readings, start) if start < stop else None
+    if first is None:
+        return readings.where(F.lit(False))
+    last = seq_at(readings, stop - 1)
+    chosen = readings.where(F.col(SEQ) >= first)
+    return (chosen if last is None else chosen.where(F.col(SEQ) <= last)).orderBy(SEQ)

@@ -127,8 +127,8 @@ def rolling_stats(
         return whole(readings)
 
     lead = max(mean_rows or 1, std_rows or 1) - 1
-    short = readings.join(F.broadcast(long_keys), keys, "left_anti")
-    long = readings.join(F.broadcast(long_keys), keys, "left_semi")
+    short = readings.join(long_keys, keys, "left_anti")
+    long = readings.join(long_keys, keys, "left_semi")
     blocks = split_series(long, keys, SERIES_ORDER, long_rows, series_rows, lead, folder)
     rolled = roll(blocks).where(F.col(BLOCK) == F.col(OWN_BLOCK)).drop(BLOCK, OWN_BLOCK)
     return whole(short).unionByName(rolled)

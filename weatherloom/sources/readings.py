@@ -76,9 +76,15 @@ def write_csv(readings: DataFrame, path: str, with_seq: bool = False) -> None:
     readings.select(*columns).write.option("header", True).csv(path)
 
 
+def _without_nan(readings: DataFrame) -> DataFrame:
+    """A stored NaN is a missing temperature."""
+    known = F.nanvl(F.col(TEMPERATURE), F.lit(None).cast("double"))
+    return readings.withColumn(TEMPERATURE, known)
+
+
 def read_parquet(spark: SparkSession, path) -> DataFrame:
     """Readings written by `write_parquet`. Filters and column choices reach the files."""
-    return spark.read.schema(READINGS).parquet(path)
+    return _without_nan(spark.read.schema(READINGS).parquet(path))
 
 
 def write_parquet(readings: DataFrame, path: str) -> None:
@@ -87,4 +93,4 @@ def write_parquet(readings: DataFrame, path: str) -> None:
     Range partitions divide a city that holds most rows, unlike one folder or task per city.
     """
     order = [CITY, *SERIES_ORDER]
-    readings.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    _without_nan(readings).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import utc_instant, utc_wall_clock
+from ..functions.rows import present
 from ..schema import CITY, TEMPERATURE, TIMESTAMP
 
 DAILY = "city string, day date, mean double, batch bigint"
@@ -12,7 +13,7 @@ DAILY = "city string, day date, mean double, batch bigint"
 def daily_mean_stream(readings: DataFrame, delay: str = "1 day") -> DataFrame:
     """Mean per city and calendar day; readings later than `delay` are left out of closed days."""
     return (
-        readings.select(CITY, TEMPERATURE, utc_instant(F.col(TIMESTAMP)).alias("instant"))
+        present(readings, CITY).select(CITY, TEMPERATURE, utc_instant(F.col(TIMESTAMP)).alias("instant"))
         .withWatermark("instant", delay)
         .groupBy(F.window("instant", "1 day"), CITY)
         .agg(F.avg(TEMPERATURE).alias("mean"))

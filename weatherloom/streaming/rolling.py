@@ -70,16 +70,25 @@ class RollingStream:
 
     def finish(self, spark: SparkSession) -> None:
         """After the end of the stream: finish the rows that were still waiting for late ones."""
-        both = [f"{self.folder}/carried/{slot}" for slot in (0, 1)]
-        carried = spark.read.schema(_CARRIED).parquet(*both)
-        newest = carried.agg(F.max("batch")).first()[0]
+        carried, newest = self._newest(spark)
         if newest is not None:
             last = carried.where(F.col("batch") == newest).drop("batch")
-            self._write_rolled(last, "last")
+            self._write_rolled(last, f"last-{newest}")
+
+    def _newest(self, spark: SparkSession):
+        """(carried rows of both slots, the number of the newest batch)."""
+        both = [f"{self.folder}/carried/{slot}" for slot in (0, 1)]
+        carried = spark.read.schema(_CARRIED).parquet(*both)
+        return carried, carried.agg(F.max("batch")).first()[0]
 
     def rolled(self, spark: SparkSession) -> DataFrame:
-        """Readings finished so far, with rolling statistics and flags."""
-        return spark.read.schema(_ROLLED).parquet(f"{self.folder}/rolled/*")
+        """Readings finished so far, with rolling statistics and flags.
+
+        What `finish` wrote counts until the stream goes on: a later batch finishes those rows anew.
+        """
+        _, newest = self._newest(spark)
+        rolled = f"{self.folder}/rolled/{{[0-9]*,last-{newest}}}"
+        return spark.read.schema(_ROLLED).parquet(rolled)
 
     def late(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(READINGS).parquet(f"{self.folder}/late/*")
