@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_WORD = 64
-# Words whose ids a process remembers; it forgets all of them when there are more.
+# Words whose ids a process remembers, in two generations of this size: when the young one is full it
+# becomes the old one, whose words stay only if they are met again.
 REMEMBERED = 200_000
 # Only words of up to this many characters are remembered, which bounds the memory in bytes.
 REMEMBERED_LENGTH = 64
@@ -130,6 +131,7 @@ class WordBpe:
         for token, i in [*vocabulary.items(), *special.items()]:
             self.tokens[i] = token
         self.remembered: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.path, self._library, self.assigned = path, None, set()
 
     def all_assigned(self, text: str) -> bool:
@@ -172,10 +174,11 @@ class WordBpe:
             for word in self.words(piece):
                 found = remembered.get(word)
                 if found is None:
-                    found = self.encode_word(word)
+                    found = self.older.get(word) or self.encode_word(word)
                     if len(word) <= REMEMBERED_LENGTH:
                         if len(remembered) >= REMEMBERED:
-                            remembered.clear()
+                            self.older, self.remembered = remembered, {}
+                            remembered = self.remembered
                         remembered[word] = found
                 ids += found
         return ids
