@@ -13,7 +13,9 @@ length; words of over LONG_WORD symbols use a heap of the same ranks over linked
 import heapq
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,28 +45,30 @@ def _byte_symbols() -> list[str]:
     return symbols
 
 
-def merge_word(parts: list[int], ranks: dict) -> list[int]:
-    """Merge symbols (ids) of one word by lowest rank, leftmost first. `ranks`: pair -> (rank, id)."""
+def merge_word(parts: list[int], ranks: dict, merged: list[int]) -> list[int]:
+    """Merge symbols (ids) of one word by lowest rank, leftmost first.
+
+    `ranks`: rank of a pair of ids. `merged`: the id that the merge of each rank makes.
+    """
     if len(parts) > LONG_WORD:
-        return _merge_long_word(parts, ranks)
-    parts = list(parts)
-    none = (_NO_RANK, -1)
-    pairs = [ranks.get(pair, none) for pair in zip(parts, parts[1:])]
+        return _merge_long_word(parts, ranks, merged)
+    parts, rank_of = list(parts), ranks.get
+    pairs = list(map(rank_of, zip(parts, parts[1:]), repeat(_NO_RANK)))
     while pairs:
         best = min(pairs)
-        if best is none:
+        if best == _NO_RANK:
             break
         at = pairs.index(best)
-        parts[at : at + 2] = [best[1]]
-        del pairs[at]
+        parts[at] = merged[best]
+        del parts[at + 1], pairs[at]
         if at:
-            pairs[at - 1] = ranks.get((parts[at - 1], parts[at]), none)
+            pairs[at - 1] = rank_of((parts[at - 1], parts[at]), _NO_RANK)
         if at < len(pairs):
-            pairs[at] = ranks.get((parts[at], parts[at + 1]), none)
+            pairs[at] = rank_of((parts[at], parts[at + 1]), _NO_RANK)
     return parts
 
 
-def _merge_long_word(parts: list[int], ranks: dict) -> list[int]:
+def _merge_long_word(parts: list[int], ranks: dict, merged: list[int]) -> list[int]:
     """The same result for long words, in n log n steps."""
     parts, n = list(parts), len(parts)
     after = list(range(1, n + 1))
@@ -74,18 +78,18 @@ def _merge_long_word(parts: list[int], ranks: dict) -> list[int]:
     def offer(i):
         j = after[i]
         if j < n:
-            found = ranks.get((parts[i], parts[j]))
-            if found:
-                heapq.heappush(queue, (found[0], i, parts[i], parts[j], found[1]))
+            rank = ranks.get((parts[i], parts[j]))
+            if rank is not None:
+                heapq.heappush(queue, (rank, i, parts[i], parts[j]))
 
     for i in range(n - 1):
         offer(i)
     while queue:
-        _, i, left, right, merged = heapq.heappop(queue)
+        rank, i, left, right = heapq.heappop(queue)
         j = after[i]
         if parts[i] != left or j >= n or parts[j] != right:
             continue
-        parts[i], parts[j] = merged, -1
+        parts[i], parts[j] = merged[rank], -1
         after[i] = after[j]
         if after[j] < n:
             before[after[j]] = i
@@ -95,6 +99,22 @@ def _merge_long_word(parts: list[int], ranks: dict) -> list[int]:
     return [p for p in parts if p >= 0]
 
 
+class Remembered(dict):
+    """Packed ids of words: those not in it are encoded, and kept if they are not too long."""
+
+    def __init__(self, encode_word):
+        self.encode_word, self.older = encode_word, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word) or array("i", self.encode_word(word)).tobytes()
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class WordBpe:
     """A vocabulary file of this kind: `encode` gives ids, `decode` joins their tokens."""
 
@@ -121,17 +141,17 @@ class WordBpe:
         self.first = [vocabulary[s] for s in _byte_symbols()]
         self.last = [vocabulary[s + end] for s in _byte_symbols()]
         self.ranks = {
-            (vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b])
+            (vocabulary[a], vocabulary[b]): rank
             for rank, (a, b) in reversed(list(enumerate(model["merges"])))
         }
+        self.merged = [vocabulary[a + b] for a, b in model["merges"]]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
         self.at_special = regex.compile(f"({'|'.join(map(regex.escape, special))})")
         self.tokens = [""] * (max([*vocabulary.values(), *special.values()]) + 1)
         for token, i in [*vocabulary.items(), *special.items()]:
             self.tokens[i] = token
-        self.remembered: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.remembered = Remembered(self.encode_word)
         self.path, self._library, self.assigned = path, None, set()
 
     def all_assigned(self, text: str) -> bool:
@@ -163,25 +183,21 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         data = word.encode("utf-8", "surrogatepass")
-        return merge_word([*[self.first[b] for b in data[:-1]], self.last[data[-1]]], self.ranks)
+        parts = [*map(self.first.__getitem__, data[:-1]), self.last[data[-1]]]
+        return merge_word(parts, self.ranks, self.merged)
 
-    def encode(self, text: str) -> list[int]:
-        ids, remembered = [], self.remembered
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers, one after the other."""
+        packed = []
         for i, piece in enumerate(self.at_special.split(text)):
             if i % 2:
-                ids.append(self.special[piece])
-                continue
-            for word in self.words(piece):
-                found = remembered.get(word)
-                if found is None:
-                    found = self.older.get(word) or self.encode_word(word)
-                    if len(word) <= REMEMBERED_LENGTH:
-                        if len(remembered) >= REMEMBERED:
-                            self.older, self.remembered = remembered, {}
-                            remembered = self.remembered
-                        remembered[word] = found
-                ids += found
-        return ids
+                packed.append(array("i", [self.special[piece]]).tobytes())
+            else:
+                packed.append(b"".join(map(self.remembered.__getitem__, self.words(piece))))
+        return b"".join(packed)
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids) -> str:
         """Tokens of the ids, joined by spaces, as the file names no decoder. Unknown ids are skipped."""
@@ -200,13 +216,11 @@ def encode_udf(path: str):
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        bpe, ids, lengths = load(path), [], []
-        for text in texts:
-            found = bpe.encode(text.as_py() or "")
-            ids.append(np.array(found, np.int32))
-            lengths.append(len(found))
-        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)
-        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        bpe = load(path)
+        ids = [bpe.packed(text.as_py() or "") for text in texts]
+        lengths = np.array([len(found) // 4 for found in ids], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        flat = np.frombuffer(b"".join(ids), np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
     return encode
