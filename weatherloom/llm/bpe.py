@@ -223,7 +223,8 @@ def encode_udf(path: str):
         flat = np.frombuffer(b"".join(ids), np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
-    return encode
+    # Else a plan that uses the ids twice, as decoding them does, would encode each text twice.
+    return encode.asNondeterministic()
 
 
 def decode_udf(path: str):
