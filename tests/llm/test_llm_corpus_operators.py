@@ -438,6 +438,7 @@ def test_no_python_in_fingerprints(spark):
 
 def test_pipeline_stages(spark):
     import corpus_pipeline
+    from weatherloom.plans.sizing import written
 
     docs = table(spark, "documents")
     names = [name for name, _ in corpus_pipeline.STAGES]
@@ -445,7 +446,7 @@ def test_pipeline_stages(spark):
     labels = {r.doc_id: r for r in table(spark, "labels").collect()}
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, SMALL).localCheckpoint()
+        after = written(stage(spark, before, SMALL), f"test-{name}")
         assert after.columns == docs.columns and after.dtypes == docs.dtypes
         assert after.count() <= before.count()
         if name == "quality_classifier":

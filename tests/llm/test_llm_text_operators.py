@@ -274,6 +274,12 @@ def test_encoding_and_decoding_are_the_librarys(odd, none):
     assert bpe.encode_documents(none, WORDS).count() == 0
 
 
+def test_texts_are_encoded_once(odd):
+    decoded = bpe.decode_documents(bpe.encode_documents(odd, WORDS), WORDS)
+    plan = decoded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("encode(coalesce(") == 1
+
+
 def test_long_words_merge_as_short_ones_do(monkeypatch):
     vocabulary, rng = bpe.load(WORDS), random.Random(2)
     found = ["".join(rng.choices("abethin", k=rng.randint(2, 60))) for _ in range(300)]
