@@ -327,13 +327,18 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         for i, (name, keys) in enumerate(other.items())
     ]
     apart = key_differences(left[0].union(left[1]))
+    sizes = [(F.size("own") + F.size(keys)).alias(f"{keys}_size") for keys in other.values()]
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *other]
+    is_open = F.lit(False)
+    for name in other:
+        is_open = is_open | F.col(name).isNull()
+    # Only rows with a pair that was left meet the differences, and without their keys.
+    rest = result.where(is_open).select("row", *columns, *sizes)
     for i, (name, keys) in enumerate(other.items()):
         own = apart.where(F.col("pair") % 2 == i).select(
             F.shiftright("pair", 1).alias("row"), "n_left", "n_right"
         )
-        near = F.expr(likeness("n_left", "n_right", f"(size(own) + size({keys}))"))
-        result = result.join(own, "row", "left").withColumn(name, F.coalesce(F.col(name), near))
-        result = result.drop("n_left", "n_right")
-    return result.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *other
-    )
+        near = F.expr(likeness("n_left", "n_right", f"{keys}_size"))
+        rest = rest.join(own, "row", "left").withColumn(name, F.coalesce(F.col(name), near))
+        rest = rest.drop("n_left", "n_right")
+    return result.where(~is_open).select(*columns).union(rest.select(*columns))
