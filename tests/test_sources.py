@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pandas as pd
 from conftest import SMALL, to_pandas
@@ -88,6 +89,19 @@ PAYLOADS = [
 ]
 
 
+def test_indented_payload_documents(spark, tmp_path):
+    body = {"cod": 200, "dt": 1700000000, "name": "Oslo", "main": {"temp": 280.15}}
+    (tmp_path / "a.json").write_text(json.dumps(body, indent=2) + "\n")
+    (tmp_path / "b.json").write_text(json.dumps({"cod": 401, "message": "no key"}, indent=2))
+    (tmp_path / "c.json").write_text("{ broken\n")
+    rows = payloads.read_payloads(spark, str(tmp_path), whole=True).collect()
+    assert len(rows) == 3
+    good = [r for r in rows if r.payload_status == "ok"]
+    assert [(r.city, round(r.temp_c, 6)) for r in good] == [("Oslo", 7.0)]
+    assert [r.message for r in rows if r.cod and r.payload_status != "ok"] == ["no key"]
+    assert "unreadable" in {r.payload_status for r in rows}
+
+
 def test_payload_kinds(spark, tmp_path):
     path = tmp_path / "payloads.txt"
     path.write_text("\n".join(PAYLOADS[:4]) + "\n")

@@ -45,11 +45,11 @@ def with_texts(payloads: DataFrame) -> DataFrame:
     )
 
 
-def read_payloads(spark: SparkSession, path) -> DataFrame:
-    """Landed payload files, one JSON object per line."""
-    return parse_payloads(spark.read.text(path))
+def read_payloads(spark: SparkSession, path, whole: bool = False) -> DataFrame:
+    """Landed payload files, one JSON object per line, or with `whole` one document per file."""
+    return parse_payloads(spark.read.text(path, wholetext=whole))
 
 
-def stream_payloads(spark: SparkSession, path: str) -> DataFrame:
+def stream_payloads(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """The same files as a stream: new files are new readings."""
-    return parse_payloads(spark.readStream.text(path))
+    return parse_payloads(spark.readStream.text(path, wholetext=whole))
