@@ -242,6 +242,11 @@ def first_of_each(documents: DataFrame, **options) -> DataFrame:
         F.min(F.struct(F.lit(True).alias("no_id"), "doc_id", "digest")).alias("first")
     )
     kept = firsts.where("component_id IS NOT NULL").select("first").union(nameless.select("first"))
+    return with_keys(documents, kept)
+
+
+def with_keys(documents: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose doc_id and digest of the text are in `kept.first`, repeated rows once."""
     key = F.struct("doc_id", "digest").alias("_key")
     kept = written(kept.select("first.doc_id", "first.digest").select(key), "kept-documents")
     digest = F.xxhash64(F.lit("content"), F.coalesce(F.col("text").cast("string"), F.lit("")))
