@@ -358,3 +358,17 @@ def test_license_scan_against_plain_python(spark, none):
     }
     assert got == {i: plain_licenses(t) for i, t in rows}
     assert licenses.license_scan(none).count() == 0
+
+
+def test_short_notices_wrapped_over_lines(spark):
+    rows = []
+    for i, (label, template) in enumerate(licenses.TEMPLATES):
+        half = template.split(" ")
+        cut = max(1, len(half) // 2)
+        rows.append((i, " ".join(half[:cut]) + "\n" + " ".join(half[cut:])))
+    rows.append((99, "Licensed under CC\n\nBY-NC 4.0."))
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: (r.found_labels, r.score) for r in licenses.license_scan(df).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[i][0] and got[i][1] == 1.0
+    assert got[99] == ([], 0.0)

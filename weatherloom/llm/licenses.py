@@ -23,9 +23,8 @@ from ..plans.sizing import written
 from .words import Words, find_words, hash_word, parts
 
 THRESHOLD = 0.9
-# A template with fewer distinct words than this is looked for in lines only: a long paragraph holds
-# a few scattered words by chance.
-PARAGRAPH_WORDS = 16
+# Distinct words that a template needs to be looked for in paragraphs: none is left out.
+PARAGRAPH_WORDS = 1
 
 # Phrases whose consecutive words give a base label.
 BASE_PHRASES = (
@@ -139,10 +138,10 @@ def _frequencies(hashes: np.ndarray):
 
 _SCAN = (
     "struct<n_words: bigint, base: array<struct<label: string, start: bigint>>,"
-    " blocks: array<struct<paragraph: boolean, tokens: array<int>>>>"
+    " blocks: array<struct<tokens: array<int>>>>"
 )
 _BASE = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
-_BLOCKS = pa.list_(pa.struct([("paragraph", pa.bool_()), ("tokens", pa.list_(pa.int32()))]))
+_BLOCKS = pa.list_(pa.struct([("tokens", pa.list_(pa.int32()))]))
 
 
 def _phrase_places(words: Words, phrase: str) -> np.ndarray:
@@ -157,7 +156,7 @@ def _phrase_places(words: Words, phrase: str) -> np.ndarray:
 
 
 def _scan_udf(phrases, vocabulary, ranks, prefixes, least):
-    """`ranks`: rank of each word, rarest first; `prefixes`: by shape of block, ranks in a prefix."""
+    """`ranks`: rank of each word, rarest first; `prefixes`: whether a rank is in a prefix."""
     hashes = np.array([hash_word(w) for w in vocabulary], np.uint64)
     order = np.argsort(hashes)
     hashes, rank_of = hashes[order], np.array(ranks, np.int64)[order]
@@ -177,16 +176,14 @@ def _scan_udf(phrases, vocabulary, ranks, prefixes, least):
                     base[first + row].append({"label": label, "start": int(at - bounds[row])})
             tokens = _token_ids(words, hashes)
             tokens = np.where(tokens >= 0, rank_of[tokens] if len(rank_of) else -1, -1)
-            for paragraph, block in zip((False, True), _blocks(words, offsets)):
+            for block in _blocks(words, offsets):
                 owner, token = _token_sets(words, block, tokens)
                 size = np.bincount(owner)
-                rare = np.bincount(owner[prefixes[paragraph][token]], minlength=len(size))
-                for found in np.flatnonzero((size >= least[paragraph]) & (rare > 0)):
+                rare = np.bincount(owner[prefixes[token]], minlength=len(size))
+                for found in np.flatnonzero((size >= least) & (rare > 0)):
                     low, high = np.searchsorted(owner, [found, found + 1])
                     row = words.row[np.searchsorted(block, found)]
-                    blocks[first + row].append(
-                        {"paragraph": paragraph, "tokens": token[low:high].tolist()}
-                    )
+                    blocks[first + row].append({"tokens": token[low:high].tolist()})
         return pa.StructArray.from_arrays(
             [pa.array(n_words), pa.array(base, _BASE), pa.array(blocks, _BLOCKS)],
             ["n_words", "base", "blocks"],
@@ -199,35 +196,32 @@ def _scan_udf(phrases, vocabulary, ranks, prefixes, least):
 
 
 def _template_table(templates, rank_of, threshold):
-    """(template, label, tokens by rank, required, paragraphs) for templates that have words."""
+    """(template, label, tokens by rank, required) for templates that have words."""
     rows = []
     for i, (label, text) in enumerate(templates):
         ranks = sorted(rank_of[w] for w in template_words(text))
         if ranks:
-            rows.append(
-                (i, label, ranks, required(len(ranks), threshold), len(ranks) >= PARAGRAPH_WORDS)
-            )
+            rows.append((i, label, ranks, required(len(ranks), threshold)))
     return rows
 
 
 def license_blocks(blocks: DataFrame, templates: list[tuple]) -> DataFrame:
     """(row, label, containment) of every block and template that reach the threshold.
 
-    `blocks` has row, paragraph and tokens (ranks in ascending order). Equal blocks are compared
-    once however many texts hold them.
+    `blocks` has row and tokens (ranks in ascending order). Equal blocks, lines or paragraphs, are
+    compared once however many texts hold them.
     """
     spark = blocks.sparkSession
     table = spark.createDataFrame(
-        templates, "template int, label string, words array<int>, required int, paragraphs boolean"
+        templates, "template int, label string, words array<int>, required int"
     )
     place = F.posexplode(F.expr("slice(words, 1, size(words) - required + 1)"))
     prefixes = table.select("*", place.alias("template_at", "token"))
-    distinct = blocks.select("paragraph", "tokens").distinct()
-    placed = distinct.select("paragraph", "tokens", F.posexplode("tokens").alias("block_at", "token"))
+    distinct = blocks.select("tokens").distinct()
+    placed = distinct.select("tokens", F.posexplode("tokens").alias("block_at", "token"))
     # As many rows as the templates have prefix words, a number that the caller's list bounds.
     candidates = placed.join(F.broadcast(prefixes), "token").where(
-        (~F.col("paragraph") | F.col("paragraphs"))
-        & (F.size("tokens") >= F.col("required"))
+        (F.size("tokens") >= F.col("required"))
         & (
             F.least(
                 F.size("tokens") - F.col("block_at"), F.size("words") - F.col("template_at")
@@ -238,14 +232,14 @@ def license_blocks(blocks: DataFrame, templates: list[tuple]) -> DataFrame:
     )
     shared = F.size(F.array_intersect("tokens", "words"))
     held = (
-        candidates.select("paragraph", "tokens", "template", "label", "words", "required")
+        candidates.select("tokens", "template", "label", "words", "required")
         .distinct()
         .where(shared >= F.col("required"))
-        .select("paragraph", "tokens", "label", (shared / F.size("words")).alias("containment"))
-        .groupBy("paragraph", "tokens", "label")
+        .select("tokens", "label", (shared / F.size("words")).alias("containment"))
+        .groupBy("tokens", "label")
         .agg(F.max("containment").alias("containment"))
     )
-    return blocks.join(held, ["paragraph", "tokens"]).select("row", "label", "containment")
+    return blocks.join(held, "tokens").select("row", "label", "containment")
 
 
 def license_scan(
@@ -273,13 +267,10 @@ def license_scan(
     by_rarity = sorted(vocabulary, key=lambda w: (frequency[w], w))
     rank_of = {w: i for i, w in enumerate(by_rarity)}
     table = _template_table(templates, rank_of, threshold)
-    prefixes = {p: np.zeros(len(vocabulary), bool) for p in (False, True)}
-    least = {False: 1 << 30, True: 1 << 30}
-    for _, _, words, need, in_paragraphs in table:
-        for paragraph in (False, True):
-            if in_paragraphs or not paragraph:
-                prefixes[paragraph][words[: len(words) - need + 1]] = True
-                least[paragraph] = min(least[paragraph], need)
+    prefixes, least = np.zeros(len(vocabulary), bool), 1 << 30
+    for _, _, words, need in table:
+        prefixes[words[: len(words) - need + 1]] = True
+        least = min(least, need)
     scan = _scan_udf(phrases, vocabulary, [rank_of[w] for w in vocabulary], prefixes, least)
     scanned = written(
         documents.select("doc_id", scan(text).alias("s")).select(
@@ -287,7 +278,7 @@ def license_scan(
         ),
         "license-blocks",
     )
-    blocks = scanned.select("row", F.explode("blocks").alias("b")).select("row", "b.*")
+    blocks = scanned.select("row", F.explode("blocks").alias("b")).select("row", "b.tokens")
     found = (
         license_blocks(blocks, table)
         .groupBy("row")
