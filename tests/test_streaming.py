@@ -172,3 +172,23 @@ def test_daily_means_of_a_stream(spark, make, tmp_path, landing, arrivals):
     want = to_pandas(daily_mean(make(twice), "city"), "city", "day")
     assert got["day"].tolist() == want["day"].tolist()
     same(got["mean"], want["mean"])
+
+
+def test_daily_means_of_files_out_of_order(spark, make, tmp_path, landing, arrivals):
+    undated = pd.DataFrame(
+        {"city": ["A", None], "timestamp": [pd.NaT, "2019-03-01"], "temperature": [1.0, 2.0], "seq": [900, 901]}
+    )
+    twice = pd.concat([arrivals, arrivals.assign(
+        timestamp=arrivals["timestamp"] + pd.Timedelta(hours=5), temperature=arrivals["temperature"] + 3
+    ), undated])
+    twice.loc[twice["seq"] == 7, "temperature"] = float("nan")
+    # The newest readings come first, and those of one day in different files.
+    for part in (twice.iloc[150:], twice.iloc[:50], twice.iloc[50:150]):
+        landing.land(part)
+        folder = str(tmp_path / "daily")
+        means = daily.daily_mean_stream(landing.stream())
+        run(lambda **trigger: daily.start_daily_mean(means, folder, **trigger))
+    got = to_pandas(daily.read_daily_mean(spark, folder), "city", "day")
+    want = to_pandas(daily_mean(make(twice), "city"), "city", "day")
+    assert got[["city", "day"]].values.tolist() == want[["city", "day"]].values.tolist()
+    same(got["mean"], want["mean"])

@@ -1,38 +1,41 @@
-"""Daily means per city on a stream."""
+"""Daily means per city on a stream.
+
+A mean is kept as sums: each micro-batch writes the sum and the number of its readings per city and
+day, and readers add them up. No day is ever closed, so a reading counts however late it comes, and
+no state is held.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import utc_instant, utc_wall_clock
+from ..functions.calendar import calendar_date
 from ..functions.rows import present
 from ..schema import CITY, TEMPERATURE, TIMESTAMP
 
-DAILY = "city string, day date, mean double, batch bigint"
+DAILY = "city string, day date, total double, n bigint, batch bigint"
 
 
-def daily_mean_stream(readings: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Mean per city and calendar day; readings later than `delay` are left out of closed days."""
-    return (
-        present(readings, CITY).select(CITY, TEMPERATURE, utc_instant(F.col(TIMESTAMP)).alias("instant"))
-        .withWatermark("instant", delay)
-        .groupBy(F.window("instant", "1 day"), CITY)
-        .agg(F.avg(TEMPERATURE).alias("mean"))
-        .select(CITY, F.to_date(utc_wall_clock(F.col("window.start"))).alias("day"), "mean")
+def daily_mean_stream(readings: DataFrame) -> DataFrame:
+    """City, calendar day and temperature of every reading that belongs to a city and a day."""
+    return present(readings, CITY, TIMESTAMP).select(
+        CITY, calendar_date(TIMESTAMP).alias("day"), TEMPERATURE
     )
 
 
 def start_daily_mean(daily: DataFrame, folder: str, **trigger):
-    """Write the days that change in each micro-batch under `folder`; returns the running query.
+    """Write the sums of each micro-batch by city and day under `folder`; returns the running query.
 
     A repeated micro-batch overwrites its own folder.
     """
 
-    def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{folder}/daily/batch={batch_id}")
+    def write(arrived: DataFrame, batch_id: int) -> None:
+        sums = arrived.groupBy(CITY, "day").agg(
+            F.sum(TEMPERATURE).alias("total"), F.count(TEMPERATURE).alias("n")
+        )
+        sums.write.mode("overwrite").parquet(f"{folder}/daily/batch={batch_id}")
 
     return (
-        daily.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{folder}/checkpoint")
+        daily.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
         .foreachBatch(write)
         .trigger(**trigger)
         .start()
@@ -40,6 +43,8 @@ def start_daily_mean(daily: DataFrame, folder: str, **trigger):
 
 
 def read_daily_mean(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest mean of every city and day, days still open included."""
-    changes = spark.read.schema(DAILY).parquet(f"{folder}/daily")
-    return changes.groupBy(CITY, "day").agg(F.max_by("mean", "batch").alias("mean"))
+    """The mean of every city and day over all readings so far; null where none has a temperature."""
+    sums = spark.read.schema(DAILY).parquet(f"{folder}/daily")
+    n = F.sum("n")
+    mean = F.when(n > 0, F.sum("total") / n)
+    return sums.groupBy(CITY, "day").agg(mean.alias("mean"))
