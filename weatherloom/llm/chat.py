@@ -6,12 +6,13 @@ is new belongs to the last turn. A template whose output for a prefix is not whe
 begins rewrites history; such conversations are marked, as their spans mean nothing. Within a turn's
 span the text's place is found by rendering the same turns with a probe in place of the text.
 
-Rendering every prefix of a conversation takes time that grows with the square of its turns. So at
-most LOOK_BACK turns before a turn are rendered with it once a conversation is longer than SEGMENT
-turns: what a template writes for a turn may depend on that many turns before it.
+Every prefix of a conversation is rendered whole, so a template may look back as far as it likes. This
+takes time that grows with the square of a conversation's turns, and memory for all of them. Only
+for a template that its caller declares to depend on at most `look_back` earlier turns, rendering
+starts anew from that many turns after each segment, which takes time in proportion to the turns.
 
 Turns are rows. They are sorted by conversation and turn within partitions and stream through Python
-a segment at a time, so memory does not grow with the length of a conversation.
+a segment at a time.
 """
 
 import hashlib
@@ -26,7 +27,8 @@ Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
 SEGMENT = 32
-LOOK_BACK = 4
+# `turn_template` writes each turn by itself.
+TURN_LOOK_BACK = 0
 # Stands in for a text to find its place; templates pass it through as it is.
 PROBE = "\ue000"
 ROWS_PER_BATCH = 1000
@@ -130,8 +132,11 @@ _FORMATTED = pa.schema(
 )
 
 
-def _segments(batches, segment: int, look_back: int):
-    """(conv_id, first position, turns before, turns) of consecutive turns of one conversation."""
+def _segments(batches, segment: int, look_back: int | None):
+    """(conv_id, first position, turns before, turns) of consecutive turns of one conversation.
+
+    The turns before are all of them, or the last `look_back`.
+    """
     conv_id, first, before, turns, started = None, 0, [], [], False
     for batch in batches:
         for own, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -141,7 +146,9 @@ def _segments(batches, segment: int, look_back: int):
             elif len(turns) == segment:
                 yield conv_id, first, before, turns
                 first += len(turns)
-                before, turns = [*before, *turns][-look_back:] if look_back else [], []
+                before, turns = [*before, *turns], []
+                if look_back is not None:
+                    before = before[max(len(before) - look_back, 0) :]
             conv_id, started = own, True
             turns.append((role, text))
     if turns:
@@ -182,7 +189,7 @@ def format_conversations(
     template: Template = turn_template,
     loss_roles: tuple[str, ...] = ("assistant",),
     segment: int = SEGMENT,
-    look_back: int = LOOK_BACK,
+    look_back: int | None = None,
 ) -> DataFrame:
     """Per turn, in order within a conversation: conv_id, position, role, piece, span_start,
     span_end (in the conversation's output), text_start, text_end (in the piece), in_loss, rewrites.
@@ -190,8 +197,11 @@ def format_conversations(
     `conversations` needs conv_id, turn, role and text; other columns are not looked at. Missing
     roles and texts are empty; rows without conv_id are a conversation of their own; turns with the
     same number follow in order of role and text, missing numbers come first. A conversation's
-    output is its pieces in order of position. Turns of one conversation go through one task, which
-    holds a segment of them at a time.
+    output is its pieces in order of position. Turns of one conversation go through one task.
+
+    `look_back` declares that what the template writes for a turn depends on at most that many turns
+    before it and that it never rewrites more of them; rewriting from further back is then not seen,
+    and a task holds a segment of turns at a time. Without it all prefixes are rendered whole.
     """
     turns = conversations.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),

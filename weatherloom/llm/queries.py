@@ -106,7 +106,9 @@ def op7_chat_formatting(spark, sf_dir):
         [(HARD_CONVERSATION, i, r, HARD_TEXT) for i, r in enumerate(("user", "assistant"))],
         "conv_id bigint, turn bigint, role string, text string",
     )
-    return chat.read_back(chat.format_conversations(given.union(hard)))
+    return chat.read_back(
+        chat.format_conversations(given.union(hard), look_back=chat.TURN_LOOK_BACK)
+    )
 
 
 def op8_license_scan(spark, sf_dir):
