@@ -152,7 +152,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.
     Without both classes nothing can be told apart: weights are 0 and the intercept accepts.
     """
     if not len(y) or y.min() == y.max():
-        return np.zeros(x.shape[1]), 1.0 if not len(y) or y.max() > 0 else -1.0
+        return np.zeros(x.shape[1]), 1.0
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
