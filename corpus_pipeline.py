@@ -6,7 +6,7 @@ Each stage gets what the one before has kept, and all but the last return the co
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from weatherloom.llm import bpe, decontamination, quality, secrets, similar
+from weatherloom.llm import bpe, decontamination, neardup, quality, secrets
 from weatherloom.llm.queries import WORD_VOCABULARY
 from weatherloom.plans.sizing import scratch_path, written
 
@@ -17,8 +17,8 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def neardup_stage(spark, docs, sf_dir):
-    """Keeps one document of each group of texts whose 5-word shingles are similar to 0.8 or more."""
-    return similar.first_of_similar(docs)
+    """Keeps one document of each group of near-duplicates, as op6 links them."""
+    return neardup.first_of_each(docs, shingle=neardup.SHINGLE, radius=neardup.RADIUS)
 
 
 def decontamination_stage(spark, docs, sf_dir):

@@ -9,3 +9,11 @@ def present(df: DataFrame, *columns: str) -> DataFrame:
     for column in columns:
         df = df.where(F.col(column).isNotNull())
     return df
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, with underscores added until no column of `df` has this name in any spelling."""
+    taken = {column.lower() for column in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
