@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import free_name
 from ..plans.sizing import written
 from .words import find_words, grams, mix, parts
 
@@ -258,8 +259,9 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, **options)
     written first, so Spark knows whether they are small enough to be sent to the texts.
     """
     found = contamination(documents, benchmark, **options).where("contaminated")
-    dropped = written(found.select(F.struct("doc_id", "content").alias("_key")), "contaminated")
+    key = free_name(documents, "item_key")
+    dropped = written(found.select(F.struct("doc_id", "content").alias(key)), "contaminated")
     keyed = documents.withColumn(
-        "_key", F.struct("doc_id", content(F.col("text").cast("string")).alias("content"))
+        key, F.struct("doc_id", content(F.col("text").cast("string")).alias("content"))
     )
-    return keyed.join(dropped, "_key", "left_anti").select(*documents.columns)
+    return keyed.join(dropped, key, "left_anti").select(*documents.columns)

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import free_name
 from ..plans.sizing import written
 from .components import components
 
@@ -247,10 +248,11 @@ def first_of_each(documents: DataFrame, **options) -> DataFrame:
 
 def with_keys(documents: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents whose doc_id and digest of the text are in `kept.first`, repeated rows once."""
-    key = F.struct("doc_id", "digest").alias("_key")
+    name = free_name(documents, "kept_key")
+    key = F.struct("doc_id", "digest").alias(name)
     kept = written(kept.select("first.doc_id", "first.digest").select(key), "kept-documents")
     digest = F.xxhash64(F.lit("content"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = documents.withColumn("_key", F.struct("doc_id", digest.alias("digest")))
+    keyed = documents.withColumn(name, F.struct("doc_id", digest.alias("digest")))
     # One shuffle of the texts, by the key, serves the join and the removal of repeated rows.
-    joined = keyed.join(kept.hint("shuffle_hash"), "_key", "left_semi")
-    return joined.dropDuplicates(["_key"]).select(*documents.columns)
+    joined = keyed.join(kept.hint("shuffle_hash"), name, "left_semi")
+    return joined.dropDuplicates([name]).select(*documents.columns)

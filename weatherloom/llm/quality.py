@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import free_name
 from ..plans.sizing import written
 from .words import PART_BYTES, WORD_BYTES, find_words, grams, parts
 
@@ -240,7 +241,8 @@ def fit(
 ) -> QualityModel:
     """Fit on all texts and on a bounded sample of the labels. Runs two passes over the texts.
 
-    Without any good label the target is empty and nothing can be told apart: all is accepted.
+    Without any good label the target is empty and nothing can be told apart: all is accepted. Of the
+    documents that share a labelled id, the one with the least features takes part in the regression.
     """
     spark = documents.sparkSession
     # At most `labelled_rows` rows of an id and a mark: some 2 MB at the default.
@@ -250,7 +252,10 @@ def fit(
     ratios = log_ratios(target, bits, kappa)
     features = _features_udf(spark.sparkContext.broadcast(ratios), bits)
     held_out = texts.join(marks, "doc_id").where(~_odd("doc_id"))
-    rows = held_out.select("good", features("text")["features"].alias("x")).toPandas()
+    # One row of each labelled id comes to the driver, however often the id repeats.
+    shapes = held_out.select("doc_id", "good", features("text")["features"].alias("x"))
+    least = shapes.groupBy("doc_id").agg(F.min(F.struct("x", "good")).alias("least"))
+    rows = least.select("least.good", "least.x").toPandas()
     x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, _N_FEATURES)
     y = rows["good"].to_numpy(dtype=float)
     # Rows arrive in any order, and sums of floats depend on it.
@@ -310,9 +315,7 @@ def keep_good(
     model = fit(documents, labels, **options)
     least = threshold(scored(documents, model, seed), k)
     _, log_odds = model.columns()
-    key = "_key"
-    while key in documents.columns:
-        key += "_"
+    key = free_name(documents, "own_key")
     return (
         documents.withColumn(key, log_odds)
         .withColumn(key, sample_key(F.col(key), seed))

@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import free_name
 from ..plans.sizing import written
 
 
@@ -187,25 +188,27 @@ def redact(documents: DataFrame, found: DataFrame, mark: str = "[secret]") -> Da
     """`documents` with every found span of `text` replaced by `mark`, and n_chars counted anew.
 
     `found` is a result of `findings`. Rows are joined by content, so ids play no part. Overlapping
-    spans are one.
+    spans are one. A missing text stays missing; an empty table or one without findings is returned
+    as it is, and repeated rows stay.
     """
+    blob, own_spans = free_name(documents, "own_blob"), free_name(documents, "own_spans")
     spans = (
         found.where(F.size("found") > 0)
-        .select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
-        .dropDuplicates(["_blob"])
+        .select(F.col("blob").alias(blob), F.col("found").alias(own_spans))
+        .dropDuplicates([blob])
     )
-    own = documents.withColumn("_blob", address("text"))
-    joined = own.join(written(spans, "secret-spans"), "_blob", "left")
-    spans_or_none = F.coalesce("_found", F.array().cast(FOUND))
+    own = documents.withColumn(blob, address("text"))
+    joined = own.join(written(spans, "secret-spans"), blob, "left")
+    spans_or_none = F.coalesce(own_spans, F.array().cast(FOUND))
     redacted = _redact_udf(mark)(F.coalesce("text", F.lit("")), spans_or_none)
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(redacted)
+    text = F.when(F.col(own_spans).isNull(), F.col("text")).otherwise(redacted)
     joined = joined.withColumn("text", text)
     if "n_chars" in documents.columns:
         length = F.length("text").cast(documents.schema["n_chars"].dataType)
         joined = joined.withColumn(
-            "n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(length)
+            "n_chars", F.when(F.col(own_spans).isNull(), F.col("n_chars")).otherwise(length)
         )
-    return joined.select(*[joined[c] for c in documents.columns])
+    return joined.select(*documents.columns)
 
 
 def _redact_udf(mark: str):
