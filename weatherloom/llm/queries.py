@@ -10,7 +10,9 @@ from . import (
     decontamination,
     fingerprints,
     licenses,
+    manifest,
     neardup,
+    negatives,
     quality,
     secrets,
     token_counts,
@@ -142,6 +144,33 @@ def op10_bpe_round_trip(spark, sf_dir):
     )
 
 
+def op11_hard_negatives(spark, sf_dir):
+    """Every seventh label is moved on by one before mining; every hundredth row is an anchor."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", moved.alias("label"), "embedding"
+    )
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def manifest_rows(documents, **options):
+    """The manifest, verified with n_chars tampered with in about a seventh of the rows."""
+    rows = manifest.manifest(
+        documents,
+        changed={"n_chars": F.try_add("n_chars", F.lit(1))},
+        is_changed=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0,
+        **options,
+    )
+    proof = F.sha2(manifest.proof(F.col("steps")), 256).alias("proof_sha256")
+    return manifest.verified(rows).select(
+        "doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified"
+    )
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return manifest_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -153,6 +182,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 # --- the same in SQL, where SQL can say it -------------------------------------------------------
@@ -267,8 +298,120 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+_NEGATIVES_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM usable a, usable b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+def _field_sql(column):
+    text = f"{column}::VARCHAR"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _leaf_sql(*columns):
+    return f"sha256({' || '.join(map(_field_sql, columns))})"
+
+
+# CRC-32 bit by bit over the digits of the number.
+_CRC_SQL = """
+  xor(list_reduce([4294967295] || [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')],
+    lambda crc, byte: list_reduce([xor(crc, byte)] || [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[],
+      lambda c, bit: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)"""
+
+# Levels of all subtrees, then of the tree on their tops, whose leaves lie at level 1000.
+_MANIFEST_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_leaf_sql('doc_id', 'source', 'lang', 'n_chars', 'text')} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_CRC_SQL} % 7 = 0
+              THEN {_leaf_sql('doc_id', 'source', 'lang', '(n_chars + 1)', 'text')} END AS tampered
+  FROM documents
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+  FROM leaves
+),
+nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes) WHERE n > 1
+  GROUP BY tree, level, pos // 2
+),
+subroots AS (
+  SELECT tree, digest AS subroot, level FROM nodes
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY level DESC) = 1
+),
+top_nodes AS (
+  SELECT 0 AS level, tree AS pos, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS n FROM top_nodes) WHERE n > 1
+  GROUP BY level, pos // 2
+),
+root AS (SELECT digest AS root, level AS height FROM top_nodes ORDER BY level DESC LIMIT 1),
+steps AS (
+  SELECT p.tree, p.pos, l.level AS step, n.pos % 2 = 0 AS is_left, n.digest
+  FROM placed p JOIN subroots s USING (tree)
+  JOIN (SELECT unnest(range(0, 64)) AS level) l ON l.level < s.level
+  LEFT JOIN nodes n ON n.tree = p.tree AND n.level = l.level
+    AND n.pos = CASE WHEN (p.pos >> l.level::INTEGER) % 2 = 0 THEN (p.pos >> l.level::INTEGER) + 1
+                     ELSE (p.pos >> l.level::INTEGER) - 1 END
+  UNION ALL
+  SELECT p.tree, p.pos, 1000 + l.level, n.pos % 2 = 0, n.digest
+  FROM placed p, root r
+  JOIN (SELECT unnest(range(0, 64)) AS level) l ON l.level < r.height
+  LEFT JOIN top_nodes n ON n.level = l.level
+    AND n.pos = CASE WHEN (p.tree >> l.level::INTEGER) % 2 = 0 THEN (p.tree >> l.level::INTEGER) + 1
+                     ELSE (p.tree >> l.level::INTEGER) - 1 END
+),
+paths AS (
+  SELECT tree, pos, list(CASE WHEN is_left THEN digest ELSE '' END ORDER BY step) AS lefts,
+         list(CASE WHEN NOT is_left THEN digest ELSE '' END ORDER BY step) AS rights,
+         string_agg(digest, '' ORDER BY step) AS proof
+  FROM steps GROUP BY tree, pos
+),
+folds AS (
+  SELECT tree, pos, 0 AS i, coalesce(tampered, leaf) AS digest FROM placed
+  UNION ALL
+  SELECT f.tree, f.pos, i + 1, sha256(lefts[i + 1] || digest || rights[i + 1])
+  FROM folds f JOIN paths q ON q.tree = f.tree AND q.pos = f.pos WHERE i < len(lefts)
+),
+folded AS (
+  SELECT tree, pos, digest AS folded_root FROM folds
+  QUALIFY row_number() OVER (PARTITION BY tree, pos ORDER BY i DESC) = 1
+)
+SELECT p.doc_id, p.leaf, s.subroot, r.root, sha256(coalesce(q.proof, '')) AS proof_sha256,
+       f.folded_root, f.folded_root = r.root AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN folded f ON f.tree = p.tree AND f.pos = p.pos
+LEFT JOIN paths q ON q.tree = p.tree AND q.pos = p.pos, root r
+"""
+
 ORACLE = {
     "op1_secret_scan": _SECRETS_SQL,
     "op2_benchmark_decontamination": _DECONTAMINATION_SQL,
     "op7_chat_formatting": _CHAT_SQL,
+    "op11_hard_negatives": _NEGATIVES_SQL,
+    "op13_merkle_manifest": _MANIFEST_SQL,
 }
