@@ -9,6 +9,7 @@ from . import (
     chat,
     decontamination,
     fingerprints,
+    language_model,
     licenses,
     manifest,
     neardup,
@@ -153,6 +154,12 @@ def op11_hard_negatives(spark, sf_dir):
     return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_language_model(spark, sf_dir):
+    """Learns from the documents whose digest of the id leaves another remainder than 2."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return language_model.score_texts(documents(spark, sf_dir), held_out)
+
+
 def manifest_rows(documents, **options):
     """The manifest, verified with n_chars tampered with in about a seventh of the rows."""
     rows = manifest.manifest(
@@ -183,6 +190,7 @@ QUERIES = {
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_language_model": op12_language_model,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
