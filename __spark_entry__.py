@@ -369,6 +369,30 @@ def csv_roundtrip(spark, sf_dir):
     return readings.read_csv(spark, path)
 
 
+def _two_headers(spark, sf_dir):
+    """Readings in two sets of files without numbers, whose columns stand in another order."""
+    path = scratch_path(spark, "readings-two-headers")
+    rows = orders(spark, sf_dir).withColumn("text", F.col("timestamp").cast("string"))
+    in_second = F.col("seq") % 3 == 2
+    for name, part, columns in (
+        ("first", rows.where(~in_second), ["city", "text", "temperature", "season"]),
+        ("second", rows.where(in_second), ["temperature", "season", "seq", "text", "city"]),
+    ):
+        ordered = part.repartitionByRange("seq").sortWithinPartitions("seq")
+        columns = [F.lit("x").alias("note") if c == "seq" else F.col(c) for c in columns]
+        named = ordered.select(*columns).withColumnRenamed("text", "timestamp")
+        named.write.option("header", True).csv(f"{path}/{name}")
+    return readings.read_csv(spark, [f"{path}/first", f"{path}/second"])
+
+
+def csv_two_headers(spark, sf_dir):
+    return _two_headers(spark, sf_dir)
+
+
+def csv_first_seen_cities(spark, sf_dir):
+    return profiles.city_list(_two_headers(spark, sf_dir))
+
+
 def parquet_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "readings-parquet")
     readings.write_parquet(orders(spark, sf_dir), path)
@@ -491,6 +515,8 @@ QUERIES = {
     "season_rows": season_rows,
     "clean_text_readings": clean_text_readings,
     "csv_roundtrip": csv_roundtrip,
+    "csv_two_headers": csv_two_headers,
+    "csv_first_seen_cities": csv_first_seen_cities,
     "parquet_roundtrip": parquet_roundtrip,
     "synthetic_calendar": synthetic_calendar,
     "synthetic_readings": synthetic_readings,
@@ -744,6 +770,28 @@ parsed AS (
   FROM payloads
 )"""
 
+_GENERATED = f"""WITH readings AS (
+  SELECT l_suppkey::VARCHAR AS city, {_season('l_shipdate')} AS season, l_quantity AS temperature
+  FROM lineitem
+),
+means AS (
+  SELECT city, season, {_r('avg(temperature)', 'mean_temp')} FROM readings GROUP BY city, season
+),
+days AS (SELECT unnest(range(0, 3650)) AS seq),
+dated AS (SELECT seq, (DATE '2010-01-01' + seq::INTEGER)::TIMESTAMP AS timestamp FROM days),
+cities AS (SELECT DISTINCT city FROM readings),
+product AS (SELECT city, timestamp, {_season('timestamp')} AS season, seq FROM cities, dated),
+generated AS (
+  SELECT product.city, timestamp, product.season, mean_temp, seq
+  FROM product LEFT JOIN means ON product.city = means.city AND product.season = means.season
+)"""
+
+
+def _uniform(salt: int) -> str:
+    text = f"'42|{salt}|' || coalesce(city, '') || '|' || coalesce(timestamp::VARCHAR, '')"
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5) / {2**52}::DOUBLE)"
+
+
 ORACLE = {
     "season_profile": f"{_with()} SELECT city, season, {_MEAN}, {_STD} FROM readings GROUP BY city, season",
     "warmest_winter_top3": f"""{_with()}
@@ -873,19 +921,19 @@ SELECT CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN NULL
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "csv_roundtrip": f"{_with()} SELECT {_READING} FROM readings",
     "parquet_roundtrip": f"{_with()} SELECT {_READING} FROM readings",
-    "synthetic_calendar": f"""WITH readings AS (
-  SELECT l_suppkey::VARCHAR AS city, {_season('l_shipdate')} AS season, l_quantity AS temperature
-  FROM lineitem
-),
-means AS (
-  SELECT city, season, {_r('avg(temperature)', 'mean_temp')} FROM readings GROUP BY city, season
-),
-days AS (SELECT unnest(range(0, 3650)) AS seq),
-dated AS (SELECT seq, (DATE '2010-01-01' + seq::INTEGER)::TIMESTAMP AS timestamp FROM days),
-cities AS (SELECT DISTINCT city FROM readings),
-product AS (SELECT city, timestamp, {_season('timestamp')} AS season, seq FROM cities, dated)
-SELECT product.city, timestamp, product.season, mean_temp, seq
-FROM product LEFT JOIN means ON product.city = means.city AND product.season = means.season""",
+    "csv_two_headers": f"""{_with()}
+SELECT city, timestamp, {_r('temperature', 'temperature')}, season,
+       row_number() OVER (ORDER BY seq % 3 = 2, seq) - 1 AS seq
+FROM readings""",
+    "csv_first_seen_cities": f"""{_with()}
+SELECT city, min(place) AS first_seq
+FROM (SELECT city, row_number() OVER (ORDER BY seq % 3 = 2, seq) - 1 AS place FROM readings)
+GROUP BY city""",
+    "synthetic_calendar": f"{_GENERATED} SELECT city, timestamp, season, mean_temp, seq FROM generated",
+    "synthetic_readings": f"""{_GENERATED}
+SELECT city, timestamp, season, seq,
+       {_r(f"mean_temp + 5 * sqrt(-2 * ln({_uniform(1)})) * cos(2 * pi() * {_uniform(2)})", 'temperature')}
+FROM generated""",
     "stream_monitor": f"""WITH {EVENTS_SQL},{_CITY_NORM}
 SELECT readings.city, timestamp AS observed_at, {_r('temperature', 'temp_c')}, seq, {_BAND},
        {_STATUS.replace('temp_c', 'temperature')}

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pandas as pd
+import pytest
 from conftest import SMALL, to_pandas
 from pyspark.sql import functions as F
 
@@ -46,6 +47,74 @@ def test_columns_are_found_by_name_and_season_is_derived(spark, tmp_path):
     assert rows[0].temperature == 1.5 and rows[0].timestamp == dt.datetime(2020, 7, 1)
 
 
+def write_lines(path, *lines):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("".join(line + "\n" for line in lines))
+
+
+def test_files_with_columns_in_another_order(spark, tmp_path):
+    write_lines(tmp_path / "in" / "b 1%20[x].csv", "season,temperature,city,timestamp", "Winter,1.5,Oslo,2023-01-01")
+    write_lines(tmp_path / "in" / "a.csv", "city,timestamp,temperature", "Rome,2023-07-02,30", '"Rio, old",2023-07-03,31')
+    write_lines(tmp_path / "in" / "c.csv", "\ufeffcity,timestamp,temperature", "Rome,2023-07-04,32")
+    write_lines(tmp_path / "in" / "d.csv", "city,timestamp,temperature,season")
+    (tmp_path / "in" / "e.csv").write_text("")
+    (tmp_path / "in" / "f.csv").write_text("timestamp,city,temperature\r\n2023-01-05,Oslo,2\r\n")
+    rows = readings.read_csv(spark, str(tmp_path / "in")).orderBy("seq").collect()
+    assert [(r.seq, r.city, r.timestamp.day, r.temperature, r.season) for r in rows] == [
+        (0, "Rome", 2, 30.0, "summer"),
+        (1, "Rio, old", 3, 31.0, "summer"),
+        (2, "Oslo", 1, 1.5, "winter"),
+        (3, "Rome", 4, 32.0, "summer"),
+        (4, "Oslo", 5, 2.0, "winter"),
+    ]
+
+
+def test_a_header_without_a_needed_column_is_an_error(spark, tmp_path):
+    write_lines(tmp_path / "in" / "a.csv", "city,timestamp,temperature", "Rome,2023-07-02,30")
+    write_lines(tmp_path / "in" / "b.csv", "city,when,temperature", "Rome,2023-07-02,30")
+    with pytest.raises(ValueError, match="b.csv: no column timestamp"):
+        readings.read_csv(spark, str(tmp_path / "in"))
+
+
+def test_rows_are_numbered_across_blocks_and_files(spark, tmp_path):
+    n = 0
+    for name, size in (("a", 700), ("b", 1), ("c", 0), ("d", 400)):
+        lines = [f"C{i},2023-01-01,{i}" for i in range(n, n + size)]
+        write_lines(tmp_path / "in" / f"{name}.csv", "city,timestamp,temperature", *lines)
+        n += size
+    settings = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "100"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        rows = readings.read_csv(spark, str(tmp_path / "in"))
+        assert rows.rdd.getNumPartitions() > 5
+        assert [int(r.city[1:]) for r in rows.orderBy("seq").collect()] == list(range(n))
+        assert sorted(r.seq for r in rows.where("temperature >= 600").collect()) == list(range(600, n))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    # Cut anew, the files have other blocks than those that were counted.
+    with pytest.raises(Exception, match="other blocks"):
+        rows.sparkSession.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        try:
+            rows.where("seq >= 0").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before["spark.sql.files.maxPartitionBytes"])
+
+
+def test_chosen_cities_reach_the_csv_files(spark, tmp_path):
+    write_lines(tmp_path / "a" / "1.csv", "city,timestamp,temperature", "Oslo,2023-07-02,1", "Rome,2023-07-02,30")
+    write_lines(tmp_path / "a" / "2.csv", "temperature,city,timestamp", "31,Rome,2023-07-02", "32,NA,2023-07-02")
+    write_lines(tmp_path / "b" / "1.csv", "seq,city,timestamp,temperature", "5,Rome,2023-07-02,30", "6,Oslo,2023-07-02,1")
+    write_lines(tmp_path / "b" / "2.csv", "city,timestamp,temperature,seq", "Rome,2023-07-02,30,7")
+    stored = readings.read_csv(spark, str(tmp_path / "b"), cities=["Rome", "Lima", "NA"])
+    assert stored._jdf.queryExecution().toString().count("PushedFilters: [In(city, [Lima,Rome])]") == 2
+    assert sorted(r.seq for r in stored.collect()) == [5, 7]
+    numbered = readings.read_csv(spark, str(tmp_path / "a"), cities=["Rome", "NA"])
+    assert sorted((r.city, r.seq) for r in numbered.collect()) == [("Rome", 1), ("Rome", 2)]
+
+
 def test_csv_sink_has_a_header_and_keeps_microseconds(spark, tmp_path, make):
     frame = pd.DataFrame(
         {
@@ -137,11 +206,19 @@ def test_synthetic_readings_have_the_usual_size_and_seasons(spark):
     )
     mean, std = noise.agg(F.avg("x"), F.stddev("x")).first()
     assert abs(mean) < 0.15 and abs(std - 5) < 0.1
-    again = synthetic.synthetic_readings(means.repartition(7), seed=3)
+    again = synthetic.synthetic_readings(means.repartition(7), seed=3, task_rows=10_000)
+    assert again.rdd.getNumPartitions() > 4
     assert again.exceptAll(rows).isEmpty()
     rows.unpersist()
 
 
+def test_many_cities_are_generated_by_many_tasks(spark):
+    means = spark.range(500).selectExpr("concat('C', id) AS city", "'winter' AS season", "1.0D AS mean_temp")
+    rows = synthetic.synthetic_calendar(means)
+    sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 500 * 3650 and len(sizes) >= 8 and max(sizes) < 400_000
+
+
 def test_standin_readings_match_their_schema(spark):
     rows = standins.order_readings(spark, SMALL)
     assert rows.count() == 1500

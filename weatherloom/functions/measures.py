@@ -65,15 +65,22 @@ def bin_number(value: Column, low: Column, high: Column, bins: int) -> Column:
     )
 
 
+def uniform(seed: int, salt: int, *keys: str) -> Column:
+    """A number between 0 and 1 computed from the row's keys, in 2 ** 52 steps.
+
+    The steps are the first 13 hexadecimal digits of the MD5 of seed, salt and the keys as text, joined
+    by bars, so any engine with MD5 gives the same numbers. A missing key is an empty text.
+    """
+    parts = [F.coalesce(F.col(key).cast("string"), F.lit("")) for key in keys]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(salt)), *parts).cast("binary"))
+    steps = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double")
+    return (steps + 0.5) / F.lit(float(2**52))
+
+
 def normal_noise(seed: int, *keys: str) -> Column:
     """Standard normal noise (Box-Muller) computed from the row's own keys.
 
     It does not depend on partitioning or row order, so a recomputed task gives the same rows.
     """
-    span = float(2**53)
-
-    def uniform(salt: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), *keys), 11)
-        return (bits.cast("double") + 0.5) / F.lit(span)
-
-    return F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(2.0 * F.pi() * uniform(2))
+    radius = F.sqrt(-2.0 * F.log(uniform(seed, 1, *keys)))
+    return radius * F.cos(2.0 * F.pi() * uniform(seed, 2, *keys))

@@ -1,10 +1,13 @@
 """Loading, cleaning and writing readings."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import season_name
 from ..schema import CITY, READINGS, SEASON, SEQ, SERIES_ORDER, TEMPERATURE, TIMESTAMP
+from . import csv_files
 
 # Spellings of a missing value in text files.
 MISSING = (
@@ -63,9 +66,28 @@ def clean_readings(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path) -> DataFrame:
-    """Readings from CSV with a header. Columns are found by name and read as text, then cleaned."""
-    return clean_readings(spark.read.option("header", True).csv(path))
+def read_csv(spark: SparkSession, path, cities=None) -> DataFrame:
+    """Readings from CSV files, each with a header of its own. `path` is one path or a list.
+
+    Columns are found by name in each file and read as text, then cleaned. Unless all files have a
+    `seq` column, rows are numbered from 0 as they stand in the files, which follow each other by
+    path. Runs a job that reads the headers and, for the numbers, one that counts rows.
+
+    `cities` leaves the rows of these cities. Where numbers are stored the choice reaches the files;
+    where they are not, every row counts towards them, so it follows behind. (A filter on the result
+    cannot reach the files, as Catalyst does not look through the spellings of a missing value.)
+    """
+    tables = csv_files.read_tables(spark, path, (CITY, TIMESTAMP, TEMPERATURE))
+    if not tables:
+        return spark.createDataFrame([], READINGS)
+    if not all(SEQ in table.columns for table in tables):
+        tables = [table.withColumnRenamed(SEQ, f"own_{SEQ}") for table in tables]
+        tables = csv_files.with_positions(tables, SEQ)
+    if cities is not None:
+        chosen = [city for city in cities if city not in MISSING]
+        tables = [table.where(F.col(CITY).isin(chosen)) for table in tables]
+    readings = [clean_readings(table) for table in tables]
+    return reduce(DataFrame.unionByName, readings)
 
 
 def write_csv(readings: DataFrame, path: str, with_seq: bool = False) -> None:

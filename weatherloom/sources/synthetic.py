@@ -1,5 +1,7 @@
 """Generated daily readings: a seasonal mean per city plus normal noise."""
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,6 +9,11 @@ from ..functions.calendar import SEASONS, date_range, season_name, season_number
 from ..functions.measures import normal_noise
 from ..schema import CITY, SEASON, SEQ, TEMPERATURE, TIMESTAMP
 
+# Days of a generated year, leap or not.
+DAYS = 365
+# Rows that a task unfolds: some ten megabytes.
+TASK_ROWS = 200_000
+
 # Usual mean temperatures in winter, spring, summer and autumn.
 SEASONAL_MEANS = {
     "New York": (0, 10, 25, 15),
@@ -38,28 +45,38 @@ def seasonal_means(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def synthetic_calendar(means: DataFrame, start: str = "2010-01-01", years: int = 10) -> DataFrame:
+def synthetic_calendar(
+    means: DataFrame, start: str = "2010-01-01", years: int = 10, task_rows: int = TASK_ROWS
+) -> DataFrame:
     """Each city on 365 * years consecutive days, with its season and seasonal mean.
 
-    The dimension is folded to one row per city with its four means. Days are then unfolded and
-    look their mean up in place, so the large side takes no join and no shuffle. `seq` is the place
-    in the city's series, or in the whole table if the dimension has a `city_number`.
+    The dimension is folded to one row per city with its four means and unfolded in two steps: to
+    city and year, which are dealt out to a task for about `task_rows` rows each, then to days,
+    which look their mean up in place. So the large side takes no join and no shuffle. `seq` is the
+    place in the city's series, or in the whole table if the dimension has a `city_number`. Runs a
+    job that counts the cities.
     """
     by_season = [
         F.max(F.when(F.col(SEASON) == season, F.col("mean_temp"))) for season in SEASONS
     ]
     number = F.max("city_number") if "city_number" in means.columns else F.lit(0)
     cities = means.groupBy(CITY).agg(F.array(*by_season).alias("means"), number.alias("number"))
-    first_day, length = F.lit(start).cast("date"), 365 * years
-    days = date_range(first_day, length)
+    rows = means.select(CITY).distinct().count() * years * DAYS
+    tasks = max(math.ceil(rows / task_rows), 1)
+    by_year = cities.withColumn("year", F.explode(F.sequence(F.lit(0), F.lit(years - 1))))
+    dealt = by_year.repartition(tasks, CITY, "year")
+    first_day = F.lit(start).cast("date")
+    first_of_year = F.date_add(first_day, F.col("year") * DAYS)
     return (
-        cities.withColumn("day", F.explode(days))
+        dealt.withColumn("day", F.explode(date_range(first_of_year, DAYS)))
         .select(
             CITY,
             F.col("day").cast("timestamp_ntz").alias(TIMESTAMP),
             season_name("day").alias(SEASON),
             F.element_at("means", season_number("day")).alias("mean_temp"),
-            (F.col("number") * length + F.datediff("day", first_day)).cast("bigint").alias(SEQ),
+            (F.col("number") * (DAYS * years) + F.datediff("day", first_day))
+            .cast("bigint")
+            .alias(SEQ),
         )
     )
 
@@ -70,9 +87,10 @@ def synthetic_readings(
     years: int = 10,
     sigma: float = 5.0,
     seed: int = 0,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Daily readings around the seasonal means. The same seed gives the same readings."""
     noise = F.lit(sigma) * normal_noise(seed, CITY, TIMESTAMP)
-    return synthetic_calendar(means, start, years).select(
+    return synthetic_calendar(means, start, years, task_rows).select(
         CITY, TIMESTAMP, (F.col("mean_temp") + noise).alias(TEMPERATURE), SEASON, SEQ
     )
