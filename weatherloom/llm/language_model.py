@@ -37,7 +37,7 @@ from .words import find_words, utf8
 DISCOUNT = 0.75
 BATCH_BYTES = 16 << 20
 # A shard is for about this many tokens, of which it holds the different pairs.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 3_000_000
 # Of a batch, one token in so many is offered to the sample that finds the cuts between shards.
 SAMPLE_STEP = 1009
 # Pairs of the sample that reach the driver, of 16 bytes each.
@@ -269,6 +269,11 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log2(p) * _PER_OCTAVE), 0, MISSING - 1).astype(np.uint16)
 
 
+def _beside(totals: np.ndarray) -> np.ndarray:
+    """About the code of 1 / total: beside it, codes of one count are alike, and packed well."""
+    return np.rint(np.log2(np.maximum(totals, 1)) * _PER_OCTAVE).astype(np.int64)
+
+
 def probability(codes: np.ndarray) -> np.ndarray:
     return np.where(codes == MISSING, 0.0, np.exp2(codes / -_PER_OCTAVE))
 
@@ -373,13 +378,15 @@ def _answered(folder: str, cuts, discount: float):
         result = []
         for a, own_contexts, own_sizes, own_words in zip(asked, contexts, sizes, words):
             at, total, backoffs = trie.context(own_contexts)
+            codes = trie.discounted(np.repeat(at, own_sizes), own_words).astype(np.int64)
+            codes = (codes - np.repeat(_beside(total), own_sizes)) & 0xFFFF
             result.append(
                 {
                     "shard": shard,
                     "batch": a["batch"],
                     "totals": pack(total, np.int64),
                     "backoffs": pack(backoffs, np.uint16),
-                    "codes": pack(trie.discounted(np.repeat(at, own_sizes), own_words), np.uint16),
+                    "codes": pack(codes, np.uint16),
                     "n_contexts": 0 if result else n_contexts,
                 }
             )
@@ -404,14 +411,16 @@ def _scored(folder: str, cuts, n_training: int, n_words: int):
         own = Batch(b["begins"], b["vocabulary"], b["tokens"], b["held_out"], cuts)
         n = len(own.vocabulary)
         pairs, _ = own.pairs()
+        context = pairs // max(n, 1)
         count, weight, discounted = np.zeros(n, np.int64), np.zeros(n), np.zeros(len(pairs))
         for (_, v0, v1, p0, p1), a in zip(own.shares(pairs), answers, strict=True):
             count[v0:v1] = unpack(a["totals"], np.int64)
             weight[v0:v1] += probability(unpack(a["backoffs"], np.uint16))
-            discounted[p0:p1] = probability(unpack(a["codes"], np.uint16))
+            codes = unpack(a["codes"], np.uint16) + _beside(count)[context[p0:p1]]
+            discounted[p0:p1] = probability(codes & 0xFFFF)
         weight[count == 0] = 1.0
         alone = (count + 1) / (n_training + n_words + 1)
-        p = discounted + weight[pairs // max(n, 1)] * alone[pairs % max(n, 1)]
+        p = discounted + weight[context] * alone[pairs % max(n, 1)]
         of_pair = np.log10(p)[np.searchsorted(pairs, own.pair)]
         m = len(own.begins)
 
