@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import season_name
 from ..functions.measures import band_status
+from ..functions.rows import present
+from ..plans.sizing import written
 from ..schema import CITY, SEASON
 from .norms import city_norm, day_month_norm, season_norm
 
@@ -46,10 +48,17 @@ def compare_current(
     k: float | None = None,
     **options,
 ) -> DataFrame:
-    """Each current reading with its historical band and 'above', 'below' or 'normal'."""
+    """Each current reading with its historical band and 'above', 'below' or 'normal'.
+
+    Runs a job that lists the cities (and days) asked for.
+    """
     if norm not in NORMS:
         raise ValueError(f"unknown norm {norm!r}; choose one of {sorted(NORMS)}")
     build, width = NORMS[norm]
-    # Only the history of the cities asked for is read on; a city's norm needs no other city.
-    asked = readings.join(current.select(CITY).distinct(), CITY, "left_semi")
-    return classify(current, build(asked, k=width if k is None else k, **options), norm)
+    # Only the history of the cities asked for is read on, and only the norms asked for are computed.
+    # What is asked for is written, as several passes over the history look it up.
+    keyed, keys = with_norm_keys(current, norm)
+    asked = written(present(keyed, *keys).select(*keys).distinct(), "asked-norms")
+    history = readings.join(asked.select(CITY).distinct(), CITY, "left_semi")
+    norms = build(history, k=width if k is None else k, only=asked, **options)
+    return classify(current, norms, norm)

@@ -11,8 +11,12 @@ from ..schema import CITY, SEASON, TEMPERATURE, TIMESTAMP
 from .rolling import rolling_anomalies, rolling_stats
 
 
-def _band(rows: DataFrame, keys, value: str, k: float) -> DataFrame:
+def _band(rows: DataFrame, keys: dict, value: str, k: float, only: DataFrame | None) -> DataFrame:
+    """Bands by `keys` (names and their columns), for all or for those that are in `only`."""
     mean, std = F.col("mean"), F.col("std")
+    rows = rows.select(*[column.alias(name) for name, column in keys.items()], value)
+    if only is not None:
+        rows = rows.join(only, list(keys), "left_semi")
     return (
         rows.groupBy(*keys)
         .agg(
@@ -25,15 +29,16 @@ def _band(rows: DataFrame, keys, value: str, k: float) -> DataFrame:
     )
 
 
-def city_norm(readings: DataFrame, k: float = 2) -> DataFrame:
-    """Band over a city's whole history."""
-    return _band(present(readings, CITY), [CITY], TEMPERATURE, k)
+def city_norm(readings: DataFrame, k: float = 2, only: DataFrame | None = None) -> DataFrame:
+    """Band over a city's whole history. `only` names the cities wanted."""
+    return _band(present(readings, CITY), {CITY: F.col(CITY)}, TEMPERATURE, k, only)
 
 
-def season_norm(readings: DataFrame, k: float = 2) -> DataFrame:
-    """Band over a city's history in one season of the year."""
+def season_norm(readings: DataFrame, k: float = 2, only: DataFrame | None = None) -> DataFrame:
+    """Band over a city's history in one season of the year. `only` names the pairs wanted."""
     dated = present(readings, CITY, TIMESTAMP)
-    return _band(dated, [CITY, season_name(TIMESTAMP).alias(SEASON)], TEMPERATURE, k)
+    keys = {CITY: F.col(CITY), SEASON: season_name(TIMESTAMP)}
+    return _band(dated, keys, TEMPERATURE, k, only)
 
 
 def day_month_norm(
@@ -43,10 +48,13 @@ def day_month_norm(
     std_rows: int = 7,
     exclude_anomalies: bool = False,
     series_rows: int = LONG_SERIES,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Band over the rolling means of one calendar day in all years.
 
     The rolling mean runs over the whole history. Anomalous days count unless they are excluded.
+    `only` names the cities, days and months wanted: rows of other days go above the windows, which
+    need them, and below the aggregate.
     """
     if exclude_anomalies:
         flagged = rolling_anomalies(readings, mean_rows, std_rows, series_rows=series_rows)
@@ -54,5 +62,5 @@ def day_month_norm(
     else:
         rolled = rolling_stats(readings, mean_rows, None, series_rows=series_rows)
     dated = present(rolled, CITY, TIMESTAMP)
-    day, month = F.dayofmonth(TIMESTAMP).alias("day"), F.month(TIMESTAMP).alias("month")
-    return _band(dated, [CITY, day, month], "rolling_mean", k)
+    keys = {CITY: F.col(CITY), "day": F.dayofmonth(TIMESTAMP), "month": F.month(TIMESTAMP)}
+    return _band(dated, keys, "rolling_mean", k, only)

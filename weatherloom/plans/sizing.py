@@ -52,6 +52,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         fs.delete(at, True)
 
 
+def paths_in(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in a store that need not be there yet."""
+    fs, at = _file_system(spark, pattern)
+    return [str(status.getPath().toString()) for status in fs.globStatus(at) or []]
+
+
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write `df` to a fresh scratch path, or over the same name in `folder`, and read it back.
 
@@ -64,19 +70,22 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def long_series(readings: DataFrame, keys, series_rows: int, folder: str | None = None):
+def long_series(
+    readings: DataFrame, keys, series_rows: int, folder: str | None = None, **figures
+):
     """Series longer than `series_rows`, as (DataFrame of keys, their rows in total), or (None, 0).
 
-    One scan of the key columns, combined before the shuffle. There are never more long series than
+    `figures` are aggregates of a series that stand beside its key. One scan of the columns that they
+    and the keys need, combined before the shuffle. There are never more long series than
     rows / series_rows, which bounds the broadcast of the returned keys.
     """
     sizes = (
         present(readings, *keys)
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), *[f.alias(name) for name, f in figures.items()])
         .where(F.col("n") > series_rows)
     )
     rows = sizes.agg(F.sum("n")).first()[0]
     if rows is None:
         return None, 0
-    return written(sizes.select(*keys), "long-series", folder), rows
+    return written(sizes.select(*keys, *figures), "long-series", folder), rows
