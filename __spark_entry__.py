@@ -30,6 +30,7 @@ from weatherloom.streaming.rolling import RollingStream
 
 DIGITS = 8
 AS_OF = "1998-07-15"
+MIDDLE = "2024-01-16"
 CITY = "NATION_3"
 CITIES = ["NATION_3", "NATION_11", "NATION_17"]
 SERIES = ["city", "timestamp", "temperature", "seq"]
@@ -449,6 +450,65 @@ def stream_rolling(spark, sf_dir):
     return rolled.rolled(spark).select(*FLAGGED)
 
 
+def _halves(spark, sf_dir):
+    """The readings of events up to the middle of the month, and all of them."""
+    events = standins.event_readings(spark, sf_dir)
+    return events.where(F.col("timestamp") < F.lit(MIDDLE).cast("timestamp_ntz")), events
+
+
+def _land(spark, landing: str, events):
+    """Add files of readings to a folder, and read the folder as a stream."""
+    events.write.mode("append").parquet(landing)
+    return spark.readStream.schema(events.schema).parquet(landing)
+
+
+def stream_rolling_two_runs(spark, sf_dir):
+    """A stream that is finished at the middle of the month goes on with the rest."""
+    early, events = _halves(spark, sf_dir)
+    landing, folder = scratch_path(spark, "landing"), scratch_path(spark, "rolling")
+    for arrived in (early, events.join(early.select("seq"), "seq", "left_anti")):
+        rolled = RollingStream(folder)
+        stream = _land(spark, landing, arrived.select(*early.columns))
+        rolled.start(stream, availableNow=True).awaitTermination()
+        rolled.finish(spark)
+    return rolled.rolled(spark).select(*FLAGGED)
+
+
+def stream_monitor_versions(spark, sf_dir):
+    """The first half of the readings against their own norms, the rest against the norms of all."""
+    early, events = _halves(spark, sf_dir)
+    landing, folder = scratch_path(spark, "landing"), scratch_path(spark, "monitor")
+    store = scratch_path(spark, "norm-versions")
+    late = events.join(early.select("seq"), "seq", "left_anti").select(*early.columns)
+    for arrived, history in ((early, early), (late, events)):
+        monitor.publish_norms(history, store, "city")
+        stream = monitor.as_current(_land(spark, landing, arrived))
+        query = monitor.start_versioned_monitor(stream, store, folder, "city", availableNow=True)
+        query.awaitTermination()
+    return monitor.read_versioned(spark, folder)
+
+
+def stream_daily_mean_compacted(spark, sf_dir):
+    """Daily means of a stream that arrives in eight micro-batches, whose sums are merged."""
+    landing, folder = scratch_path(spark, "landing"), scratch_path(spark, "daily")
+    events = standins.event_readings(spark, sf_dir)
+    events.repartition(8, "seq").write.parquet(landing)
+    stream = (
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    )
+    means = daily.daily_mean_stream(stream)
+    daily.start_daily_mean(means, folder, availableNow=True).awaitTermination()
+    return daily.read_daily_mean(spark, folder)
+
+
+def stored_nan_readings(spark, sf_dir):
+    """Readings that were stored with NaN come back without a temperature there."""
+    path = scratch_path(spark, "readings-nan")
+    broken = F.when(F.col("seq") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("temperature"))
+    orders(spark, sf_dir).withColumn("temperature", broken).write.parquet(path)
+    return profiles.city_summary(readings.read_parquet(spark, path))
+
+
 QUERIES = {
     "season_profile": season_profile,
     "warmest_winter_top3": warmest_winter_top3,
@@ -524,6 +584,10 @@ QUERIES = {
     "stream_payload_monitor": stream_payload_monitor,
     "stream_daily_mean": stream_daily_mean,
     "stream_rolling": stream_rolling,
+    "stream_rolling_two_runs": stream_rolling_two_runs,
+    "stream_monitor_versions": stream_monitor_versions,
+    "stream_daily_mean_compacted": stream_daily_mean_compacted,
+    "stored_nan_readings": stored_nan_readings,
 }
 
 
@@ -947,6 +1011,20 @@ WHERE payload_status = 'ok'""",
     "stream_daily_mean": f"""WITH {EVENTS_SQL}
 SELECT city, timestamp::DATE AS day, {_MEAN} FROM readings GROUP BY 1, 2""",
     "stream_rolling": f"WITH {EVENTS_SQL},{_rolled(30, 7)} SELECT {_FLAGGED} FROM flagged",
+    "stream_rolling_two_runs": f"WITH {EVENTS_SQL},{_rolled(30, 7)} SELECT {_FLAGGED} FROM flagged",
+    "stream_monitor_versions": f"""WITH {EVENTS_SQL},
+parts AS (SELECT *, CASE WHEN timestamp < TIMESTAMP '{MIDDLE}' THEN 1 ELSE 2 END AS half FROM readings),
+history AS (SELECT city, temperature, 1 AS version FROM parts WHERE half = 1
+            UNION ALL SELECT city, temperature, 2 FROM parts),{_norm_part('city, version', 'temperature', 'history', 2)}
+SELECT parts.city, timestamp AS observed_at, {_r('temperature', 'temp_c')}, seq, {_BAND},
+       {_STATUS.replace('temp_c', 'temperature')}, half::BIGINT AS norm_version
+FROM parts LEFT JOIN norms ON parts.city = norms.city AND half = version""",
+    "stream_daily_mean_compacted": f"""WITH {EVENTS_SQL}
+SELECT city, timestamp::DATE AS day, {_MEAN} FROM readings GROUP BY 1, 2""",
+    "stored_nan_readings": f"""{_with()}
+SELECT city, {_SUMMARY}
+FROM (SELECT city, CASE WHEN seq % 7 <> 0 THEN temperature END AS temperature FROM readings)
+GROUP BY city""",
 }
 
 

@@ -135,3 +135,20 @@ def test_recommendation_counts_a_closed_range(make):
     rows = make(frame)
     assert suitable_rows(rows, 3, 20, 30).count() == 4
     assert tuple(recommend_city(rows, "summer").first()) == ("A", 2)
+
+
+def test_only_the_norms_asked_for_are_computed(spark, make, history):
+    asked = spark.createDataFrame(
+        [("Long", dt.datetime(2020, 3, 4), 11.0), ("Long", None, 1.0), (None, dt.datetime(2020, 3, 4), 1.0)],
+        CURRENT,
+    )
+    compared = compare_current(asked, make(history))
+    plan = compared._jdf.queryExecution().optimizedPlan().toString()
+    # The choice of cities is below the windows, that of days above them and below the aggregate.
+    aggregate, window = plan.index("Aggregate [city"), plan.index("Window")
+    joins = [i for i in range(len(plan)) if plan.startswith("Join LeftSemi", i)]
+    assert len(joins) == 2 and aggregate < joins[0] < window < joins[1]
+    assert {r.city: r.n for r in compared.where("observed_at IS NOT NULL").collect()} == {"Long": 3, None: None}
+    norm = norms.day_month_norm(make(history)).where("city = 'Long' AND month = 3 AND day = 4").first()
+    (row,) = compared.where("city = 'Long' AND observed_at IS NOT NULL").collect()
+    assert (row.mean, row.std) == pytest.approx((norm["mean"], norm["std"]))

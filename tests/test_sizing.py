@@ -1,12 +1,15 @@
 import os
 from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pytest
-from conftest import series
+from conftest import same, series
 from pyspark.sql import functions as F
 
+from weatherloom.functions.calendar import utc_to_epoch
 from weatherloom.operators import blocks
+from weatherloom.operators.rolling import rolling_stats
 from weatherloom.plans import sizing
 
 
@@ -65,3 +68,47 @@ def test_blocks_are_full_and_led_by_the_rows_before(make, history):
     lead = split.where(F.col("_block") > F.col("_own_block")).groupBy("_block").count()
     assert {r["_block"]: r["count"] for r in lead.collect()} == {b: 29 for b in range(1, 10)}
     assert split.where(F.col("_block") < F.col("_own_block")).isEmpty()
+
+
+@pytest.mark.parametrize("series_rows, lead", [(400, 29), (160, 29), (120, 40)])
+def test_blocks_between_time_bounds(spark, make, history, series_rows, lead):
+    rows = make(history)
+    keys, _ = sizing.long_series(rows, ["city"], series_rows, **spans())
+    long = rows.join(keys.select("city"), "city", "left_semi")
+    cut, crowded = blocks.time_blocks(long, ["city"], keys, series_rows, lead)
+    assert crowded is None
+    frame = cut.toPandas().sort_values(["city", "timestamp", "seq"])
+    own = frame[frame["_block"] == frame["_own_block"]]
+    wanted = history[history["city"].isin(set(own["city"]))].sort_values(["city", "timestamp", "seq"])
+    assert own["seq"].tolist() == wanted["seq"].tolist()
+    for _, rows_of_city in own.groupby("city"):
+        # Blocks follow each other without gaps, and each but the first has enough rows before it.
+        numbers = rows_of_city["_block"].tolist()
+        assert numbers == sorted(numbers) and set(numbers) == set(range(numbers[0], numbers[-1] + 1))
+        sizes = rows_of_city["_block"].value_counts()
+        assert sizes.max() < series_rows
+        for block in sorted(set(numbers))[1:]:
+            before = rows_of_city[rows_of_city["_block"] < block].tail(lead)
+            lent = frame[(frame["city"] == before["city"].iloc[0]) & (frame["_block"] == block)]
+            lent = lent[lent["_own_block"] < block]
+            assert lent["seq"].tolist() == before["seq"].tolist()
+
+
+def spans():
+    seconds = utc_to_epoch(F.col("timestamp"))
+    return {blocks.FIRST: F.min(seconds), blocks.LAST: F.max(seconds)}
+
+
+def test_series_with_one_crowded_instant_are_numbered(spark, make):
+    crowd = series("Crowd", 900, seed=3)
+    crowd.loc[100:800, "timestamp"] = pd.Timestamp("2019-04-11")
+    undated = series("Undated", 500, seed=4)
+    undated.loc[:400, "timestamp"] = pd.NaT
+    frame = pd.concat([crowd, undated, series("Even", 700, seed=5)], ignore_index=True)
+    frame["seq"] = np.random.default_rng(6).permutation(len(frame))
+    rows = make(frame)
+    got = rolling_stats(rows, series_rows=300).toPandas().sort_values("seq")
+    want = rolling_stats(rows).toPandas().sort_values("seq")
+    assert got["seq"].tolist() == want["seq"].tolist()
+    same(got["rolling_mean"], want["rolling_mean"])
+    same(got["rolling_std"], want["rolling_std"])

@@ -8,7 +8,8 @@ from weatherloom.operators.profiles import daily_mean
 from weatherloom.operators.rolling import rolling_anomalies
 from weatherloom.schema import READINGS
 from weatherloom.sources import payloads
-from weatherloom.streaming import daily, monitor
+from weatherloom.plans.sizing import paths_in
+from weatherloom.streaming import compaction, daily, monitor
 from weatherloom.streaming.rolling import RollingStream
 
 
@@ -192,3 +193,96 @@ def test_daily_means_of_files_out_of_order(spark, make, tmp_path, landing, arriv
     want = to_pandas(daily_mean(make(twice), "city"), "city", "day")
     assert got[["city", "day"]].values.tolist() == want[["city", "day"]].values.tolist()
     same(got["mean"], want["mean"])
+
+
+def test_folders_are_carried_like_digits():
+    folders, rewritten = [], 0
+    for n in range(200):
+        before = [name for _, name in folders]
+        folders, merged = compaction.carried(folders, str(n))
+        assert len(folders) == (n + 1).bit_count()
+        assert [name for _, name in folders] == [x for x in before if x not in merged] + [str(n)]
+        assert [level for level, _ in folders] == sorted({level for level, _ in folders}, reverse=True)
+        rewritten += len(merged)
+    assert rewritten < 200
+
+
+def test_sums_of_many_micro_batches_are_merged(spark, make, tmp_path, arrivals):
+    folder = str(tmp_path / "daily")
+    step = 10
+    for n, start in enumerate(range(0, len(arrivals), step)):
+        part = daily.daily_mean_stream(make(arrivals.iloc[start : start + step]))
+        daily.add_daily(part, n, folder)
+        if n in (2, 5, 6):
+            daily.add_daily(part, n, folder)
+    store = compaction.CompactedFolder(spark, f"{folder}/daily")
+    assert len(store.paths()) == (n + 1).bit_count() <= 5
+    assert len(paths_in(spark, f"{folder}/daily/rows/*")) <= 2 * (n + 1).bit_length()
+    assert len(paths_in(spark, f"{folder}/daily/manifest/*")) == 2
+    got = to_pandas(daily.read_daily_mean(spark, folder), "city", "day")
+    want = to_pandas(daily_mean(make(arrivals), "city"), "city", "day")
+    assert got[["city", "day"]].values.tolist() == want[["city", "day"]].values.tolist()
+    same(got["mean"], want["mean"])
+
+
+def test_no_daily_means_before_the_first_micro_batch(spark, tmp_path):
+    assert daily.read_daily_mean(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_new_version_of_norms_counts_from_the_next_micro_batch(
+    spark, make, tmp_path, landing, arrivals
+):
+    store, folder = str(tmp_path / "norms"), str(tmp_path / "monitored")
+    with pytest.raises(ValueError, match="no norms"):
+        monitor.classify_newest(monitor.as_current(make(arrivals)), store)
+    for n, part in enumerate((arrivals.iloc[:100], arrivals.iloc[100:])):
+        history = arrivals.iloc[: 60 + 90 * n]
+        assert monitor.publish_norms(make(history), store, k=1) == n + 1
+        landing.land(part)
+        stream = monitor.as_current(landing.stream())
+        run(lambda **trigger: monitor.start_versioned_monitor(stream, store, folder, **trigger))
+        band = history.groupby("city")["temperature"].agg(["mean", "std"])
+        rows = [r for r in monitor.read_versioned(spark, folder).collect() if r.norm_version == n + 1]
+        assert {r.seq for r in rows} == set(part["seq"])
+        for r in rows:
+            if r.city in band.index:
+                assert r.upper == pytest.approx(band["mean"][r.city] + band["std"][r.city])
+    # A version that is not wholly written does not count.
+    (tmp_path / "norms" / "version=9").mkdir()
+    assert monitor.newest_version(spark, store) == 2
+
+
+def test_only_buckets_with_news_are_rewritten(spark, make, tmp_path):
+    frame = pd.concat([series(f"C{i}", 40, seed=i) for i in range(12)])
+    frame = frame.sort_values(["timestamp", "city"]).reset_index(drop=True)
+    frame["seq"] = range(len(frame))
+    early = frame[frame["timestamp"] < "2019-01-31"]
+    rest = frame[frame["timestamp"] >= "2019-01-31"]
+    rolled = RollingStream(str(tmp_path / "rolled"), buckets=8)
+    rolled._step(make(early), 0)
+    before = rolled._manifest(spark, 0)["buckets"]
+    assert len(before) > 3 and {own["batch"] for own in before.values()} == {0}
+    # The newest readings of all cities wait; the next micro-batch finishes them all.
+    one_city = rest[rest["city"] == "C3"]
+    rolled._step(make(one_city.iloc[:4]), 1)
+    rolled._step(make(one_city.iloc[4:]), 2)
+    after = rolled._manifest(spark, 2)["buckets"]
+    assert after.keys() == before.keys()
+    assert sorted(own["batch"] for own in after.values()) == [1] * (len(after) - 1) + [2]
+    rolled.finish(spark)
+    same_rolled(
+        rolled.rolled(spark),
+        rolling_anomalies(make(frame[(frame["timestamp"] < "2019-01-31") | (frame["city"] == "C3")])),
+    )
+
+
+def test_rows_of_quiet_cities_are_finished_by_the_news_of_others(spark, make, tmp_path, arrivals):
+    rolled = RollingStream(str(tmp_path / "rolled"), delay=dt.timedelta(days=3), buckets=16)
+    city_a, city_b = (arrivals[arrivals["city"] == c] for c in "AB")
+    rolled._step(make(arrivals[arrivals["timestamp"] <= "2019-03-01"]), 0)
+    later = city_a[city_a["timestamp"] > "2019-03-01"]
+    rolled._step(make(later), 1)
+    known = pd.concat([arrivals[arrivals["timestamp"] <= "2019-03-01"], later])
+    done = known[known["timestamp"] < known["timestamp"].max() - pd.Timedelta(days=3)]
+    assert {r.seq for r in rolled.rolled(spark).collect()} == set(done["seq"])
+    assert set(done["city"]) == {"A", "B"} and len(city_b) > 0
