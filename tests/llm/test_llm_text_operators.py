@@ -253,6 +253,37 @@ def test_chunks_of_hard_texts_are_spliced_exactly(spark):
     assert got == {i: len(encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
+def test_pieces_are_cut_as_the_library_cuts(monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 50)
+    own = token_counts.PieceCounter(COUNTED)
+    assert own.by_piece
+    encode, rng = library(COUNTED).encode, random.Random(12)
+    # Letters, marks, digits, spaces and signs of many scripts, unassigned and newer characters.
+    ranges = [(32, 127), (0x80, 0x2AF), (0x300, 0x36F), (0x660, 0x669), (0x2000, 0x206F), (0x2C00, 0x2FFF),
+              (0x3000, 0x30FF), (0xA640, 0xA7FF), (0xE000, 0xE010), (0x10D40, 0x10D65), (0x1F300, 0x1F64F),
+              (0x31350, 0x31370), (0x1C80, 0x1C8F), (0x85, 0xA0)]
+    for _ in range(3000):
+        chars = [chr(rng.randint(*rng.choice(ranges))) for _ in range(rng.randint(1, 12))]
+        text = "".join(c + rng.choice(["", "", " ", "  ", "\n", "'s", "a", "7"]) for c in chars)
+        assert own.count(text) == len(encode(text, add_special_tokens=False).ids), repr(text)
+    assert own.count("a<|endoftext|>b") == 3 and len(own.remembered) <= 50
+    other = token_counts.PieceCounter(WORDS)
+    assert not other.by_piece
+    assert other.count("Some words") == len(library(WORDS).encode("Some words", add_special_tokens=False).ids)
+
+
+def test_a_text_is_cut_in_one_pass():
+    import pyarrow as pa
+
+    text = "".join(chr(97 + i % 26) for i in range(1000)) + "é" * 30
+    batch = pa.RecordBatch.from_pydict({"row": [3], "text": [text]})
+    pieces = [b.to_pylist()[0] for b in token_counts._cut(100, 10)([batch])]
+    assert [p["i"] for p in pieces] == list(range(10))
+    joined = pieces[0]["piece"] + "".join(p["piece"][p["left"] :] for p in pieces[1:])
+    assert joined == text
+    assert [p["left"] for p in pieces] == [0] + [20] * 9 and pieces[-1]["last"]
+
+
 def test_token_counts_of_no_documents(none):
     assert token_counts.token_counts(none, COUNTED).count() == 0
 

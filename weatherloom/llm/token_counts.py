@@ -11,12 +11,19 @@ overlap; and what follows a boundary depends only on the text after it, so the r
 shares a boundary, goes on as an encoding of the whole text would. Special strings are shorter than
 MARGIN, so none is cut at such a place unnoticed. Where a pair has no such place, the overlap of that
 text is widened until it has one, or until one chunk holds the whole text.
+
+Other texts are counted by pre-token where the file is of the byte-level kind: a text is cut by the
+kind's pattern, and each piece counts as the library encodes it, which is remembered. The library
+says for every character that is new to a process whether the pattern sees it as the library does;
+texts with a character that it sees otherwise, or with a special string, go to the library whole.
 """
 
+import json
 import os
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +36,19 @@ LIMIT = 512
 # Short texts go to the library in calls of about this many bytes, which bounds its memory.
 _CALL_BYTES = 1 << 20
 
+# Counts of pieces that a process remembers, in two generations of this size: when the young one is
+# full it becomes the old one, whose pieces stay only if they are met again.
+REMEMBERED = 100_000
+# Only pieces of up to this many characters are remembered, which bounds the memory in bytes.
+REMEMBERED_LENGTH = 64
+
+# Fixed value: the pattern that byte-level pre-tokenizers cut texts by.
+BYTE_LEVEL_PIECES = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+
 _tokenizers: dict = {}
+_counters: dict = {}
 
 _PLACES = "array<struct<at: int, before: int>>"
 _CHUNK = f"struct<n_tokens: int, left: {_PLACES}, right: {_PLACES}>"
@@ -37,6 +56,17 @@ _PLACE_LIST = pa.list_(pa.struct([("at", pa.int32()), ("before", pa.int32())]))
 _CHUNK_STRUCT = pa.struct(
     [("n_tokens", pa.int32()), ("left", _PLACE_LIST), ("right", _PLACE_LIST)]
 )
+_PIECES = "row bigint, i int, last boolean, piece string, left int, right int"
+_PIECE_SCHEMA = pa.schema(
+    [
+        ("row", pa.int64()),
+        ("i", pa.int32()),
+        ("last", pa.bool_()),
+        ("piece", pa.string()),
+        ("left", pa.int32()),
+        ("right", pa.int32()),
+    ]
+)
 
 
 def tokenizer(path: str):
@@ -65,13 +95,81 @@ def _calls(texts: pa.Array):
         yield texts.slice(first)
 
 
+class Remembered(dict):
+    """Numbers of tokens of pieces: those not in it are encoded, and kept if they are not too long."""
+
+    def __init__(self, count):
+        self.count, self.older = count, {}
+
+    def __missing__(self, piece: str) -> int:
+        n = self.older.get(piece) or self.count(piece)
+        if len(piece) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = n
+        return n
+
+
+class PieceCounter:
+    """Numbers of tokens of texts, by piece, with the tokenizer of a .json file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        cut = spec["pre_tokenizer"] or {}
+        self.by_piece = (
+            spec["normalizer"] is None
+            and (cut.get("type"), cut.get("use_regex")) == ("ByteLevel", True)
+            and not cut.get("add_prefix_space")
+            and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        )
+        self.library = tokenizer(path)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.pieces = regex.compile(BYTE_LEVEL_PIECES)
+        self.remembered = Remembered(self.whole)
+        self.known, self.other = set(map(chr, range(128))), set()
+
+    def whole(self, text: str) -> int:
+        return len(self.library.encode(text, add_special_tokens=False).ids)
+
+    def seen_alike(self, c: str) -> bool:
+        """Whether the library cuts a text with this character as the pattern does."""
+        for text in (c, f"a{c}a", f"1{c}1", f"!{c}!", f" {c} ", f"{c}{c}a", f"{c} {c}", f"'{c}"):
+            cut = self.library.pre_tokenizer.pre_tokenize_str(text)
+            if [text[a:b] for _, (a, b) in cut] != self.pieces.findall(text):
+                return False
+        return True
+
+    def alike(self, text: str) -> bool:
+        """Whether the pattern sees all characters of a text as the library does."""
+        if text.isascii():
+            return True
+        new = set(text) - self.known - self.other
+        for c in new:
+            (self.known if self.seen_alike(c) else self.other).add(c)
+        return not self.other or self.other.isdisjoint(text)
+
+    def count(self, text: str) -> int:
+        special = any(content in text for content in self.special)
+        if not self.by_piece or special or not self.alike(text):
+            return self.whole(text)
+        return sum(map(self.remembered.__getitem__, self.pieces.findall(text)))
+
+
+def counter(path: str) -> PieceCounter:
+    """The counter of a .json file, loaded once per process."""
+    if path not in _counters:
+        _counters[path] = PieceCounter(path)
+    return _counters[path]
+
+
 def _count_udf(path):
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        counts = []
+        own, counts = counter(path), []
         for call in _calls(texts):
-            encoded = tokenizer(path).encode_batch_fast(call.to_pylist(), add_special_tokens=False)
-            counts += [len(e) for e in encoded]
+            counts += map(own.count, call.to_pylist())
         return pa.array(counts, pa.int64())
 
     return count
@@ -119,27 +217,37 @@ def _chunk_udf(path):
     return encode
 
 
+def _cut(chunk: int, overlap: int):
+    def cut(batches):
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                n = max(len(text) // chunk, 1)
+                for i in range(n):
+                    last = i == n - 1
+                    end = len(text) if last else (i + 1) * chunk + overlap
+                    piece = {
+                        "row": row,
+                        "i": i,
+                        "last": last,
+                        "piece": text[max(i * chunk - overlap, 0) : end],
+                        "left": 2 * overlap if i else 0,
+                        "right": 0 if last else 2 * overlap,
+                    }
+                    yield pa.RecordBatch.from_pylist([piece], _PIECE_SCHEMA)
+
+    return cut
+
+
 def _chunks(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """(row, i, last, piece, left, right): overlapping pieces of each text, dealt out evenly.
 
     Piece i covers [i * chunk, (i + 1) * chunk) and `overlap` characters on either side, so two
-    neighbours share 2 * overlap characters. The last one takes what is too short for a piece.
+    neighbours share 2 * overlap characters. The last one takes what is too short for a piece. A text
+    is cut in one pass.
     """
-    n = F.greatest(F.floor(F.length("text") / chunk), F.lit(1)).cast("int")
-    pieces = texts.withColumn("n", n).select(
-        "row", "n", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")
-    )
-    is_last = F.col("i") == F.col("n") - 1
-    start = F.greatest(F.col("i") * chunk - overlap, F.lit(0))
-    end = F.when(is_last, F.length("text")).otherwise((F.col("i") + 1) * chunk + overlap)
-    return pieces.select(
-        "row",
-        "i",
-        is_last.alias("last"),
-        F.substring(F.col("text"), start + 1, end - start).alias("piece"),
-        F.when(F.col("i") > 0, 2 * overlap).otherwise(0).alias("left"),
-        F.when(~is_last, 2 * overlap).otherwise(0).alias("right"),
-    ).repartition("row", "i")
+    pieces = texts.select("row", "text").mapInArrow(_cut(chunk, overlap), _PIECES)
+    return pieces.repartition("row", "i")
 
 
 def _spliced(pieces: DataFrame, path: str) -> DataFrame:
