@@ -238,7 +238,10 @@ def test_pages_come_back_from_packages(spark):
     folder = scratch_path(spark, "archive")
     manifest = warc.write_packages(pages, folder, package_bytes=300)
     assert manifest.count() > 3 and manifest.agg(F.sum("records")).first()[0] == len(rows)
-    found = warc.read_packages(spark, folder, range_bytes=200).collect()
+    read = warc.read_packages(spark, folder, range_bytes=200)
+    busy = read.groupBy(F.spark_partition_id()).count().count()
+    assert read.rdd.getNumPartitions() > 5 and busy > 3
+    found = read.collect()
     firsts = {"<p>same</p>": 3, "": 1}
     expected = []
     for page_id, _, html in rows:

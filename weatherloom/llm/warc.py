@@ -19,6 +19,7 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import struct
 import uuid
 import zipfile
@@ -385,9 +386,13 @@ def read_packages(
     """
     packages = f"{folder}/packages"
     listed = read_manifest(spark, folder)
-    places = listed.repartition("package").mapInArrow(_locate(packages), _PLACES)
+    n, size = listed.agg(F.count(F.lit(1)), F.sum("size")).first()
+    # Rows of places are tiny, and what they stand for is not: the numbers of tasks are given, so that
+    # adaptive execution does not join them by the bytes of the rows.
+    located = listed.repartition(max(n, 1), "package").mapInArrow(_locate(packages), _PLACES)
     piece = F.floor(F.col("offset") / range_bytes)
-    dealt = places.repartition("package", piece).sortWithinPartitions("package", "offset")
+    tasks = max(math.ceil((size or 0) / range_bytes), 1)
+    dealt = located.repartition(tasks, "package", piece).sortWithinPartitions("package", "offset")
     return dealt.mapInArrow(_read_records(packages, with_payload), _RECORDS)
 
 
