@@ -7,7 +7,7 @@ from conftest import SMALL, to_pandas
 from pyspark.sql import functions as F
 
 from weatherloom.functions.calendar import season_name
-from weatherloom.sources import payloads, readings, standins, synthetic
+from weatherloom.sources import csv_files, payloads, readings, standins, synthetic
 
 MESSY = """city,timestamp,temperature,season
 Oslo,2023-01-01,-3.5,Winter
@@ -59,6 +59,11 @@ def test_files_with_columns_in_another_order(spark, tmp_path):
     write_lines(tmp_path / "in" / "d.csv", "city,timestamp,temperature,season")
     (tmp_path / "in" / "e.csv").write_text("")
     (tmp_path / "in" / "f.csv").write_text("timestamp,city,temperature\r\n2023-01-05,Oslo,2\r\n")
+    by_driver, by_job = (
+        [(columns, [f.split("/")[-1] for f in files]) for columns, files in found]
+        for found in (csv_files.headers(spark, str(tmp_path / "in"), n) for n in (200, 0))
+    )
+    assert by_driver == by_job and len(by_driver) == 4
     rows = readings.read_csv(spark, str(tmp_path / "in")).orderBy("seq").collect()
     assert [(r.seq, r.city, r.timestamp.day, r.temperature, r.season) for r in rows] == [
         (0, "Rome", 2, 30.0, "summer"),

@@ -5,18 +5,15 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import utc_to_epoch
 from ..plans.sizing import written
-from ..schema import SERIES_ORDER, TIMESTAMP
+from ..schema import TIMESTAMP
 
 BLOCK = "_block"
 OWN_BLOCK = "_own_block"
 POSITION = "_position"
-# First and last instant of a series, in seconds.
-FIRST, LAST = "_first", "_last"
-# Equal spans of a long series' time whose rows are counted.
-BUCKETS = 4096
-_SPAN = "_span"
+_DAY = "_day"
+# Stands before any day.
+_NO_DAY = -(1 << 31)
 # Rows of a range partition of the sorted table: some 200 MB, whatever the length of a block.
 PARTITION_ROWS = 4_000_000
 
@@ -80,47 +77,51 @@ def split_series(
 
 
 def time_blocks(
-    df: DataFrame, keys, sizes: DataFrame, series_rows: int, lead: int, folder: str | None = None
+    df: DataFrame, keys, long_keys: DataFrame, series_rows: int, lead: int, folder: str | None = None
 ):
-    """Long series cut at time bounds into blocks, and the keys of series that cannot be cut so.
+    """Long series cut between days into blocks, and the keys of series that cannot be cut so.
 
-    `sizes` has a row per series with its first and last instant, in seconds. Rows are counted in
-    BUCKETS equal spans of each series' time; running sums of these counts join neighbouring spans to
-    blocks of about a quarter of `series_rows`. A block takes the last `lead` rows of the block before,
-    found per block before the shuffle, so rows are neither numbered nor written. Blocks with fewer
-    rows than that are part of the one before them.
+    The rows of each day are counted; running sums of the counts join days to blocks of about a quarter
+    of `series_rows`. The counts also say which last days of a block hold its last `lead` rows: the
+    rows of these days are used in the next block too, in front of its own. So rows are read once
+    and neither sorted nor numbered nor written before the windows need them. Blocks with fewer rows
+    than `lead` are part of the one before them.
 
-    Rows carry `_block` and `_own_block`, as those of `split_series`. A series that has more than
-    `series_rows` rows in one span is left out; its key is in the second result, None if there is none.
+    Rows carry `_block` and `_own_block`, as those of `split_series`, with `lead` rows or some more
+    of the block before. A series that has more than `series_rows` rows on one day is left out; its
+    key is in the second result, None if there is none.
     """
     size = max(series_rows // 4, lead, 1)
-    seconds = utc_to_epoch(F.col(TIMESTAMP))
-    width = F.greatest(F.ceil((F.col(LAST) - F.col(FIRST) + 1) / BUCKETS), F.lit(1))
     # Rows without an instant come first, as they do in the order of the series.
-    span = F.coalesce(F.floor((seconds - F.col(FIRST)) / width), F.lit(-1)).cast("bigint")
-    spread = df.join(sizes, keys).withColumn(_SPAN, span).drop(FIRST, LAST)
+    day = F.coalesce(F.unix_date(F.to_date(TIMESTAMP)), F.lit(_NO_DAY))
+    long = df.join(long_keys, keys).withColumn(_DAY, day)
     counts = written(
-        spread.groupBy(*keys, _SPAN).agg(F.count(F.lit(1)).alias("_rows")), "series-spans", folder
+        long.groupBy(*keys, _DAY).agg(F.count(F.lit(1)).alias("_rows")), "series-days", folder
     )
     crowded = counts.where(F.col("_rows") > series_rows).select(*keys).distinct()
     crowded = None if crowded.isEmpty() else written(crowded, "crowded-series", folder)
     if crowded is not None:
         counts = counts.join(crowded, keys, "left_anti")
-    series = Window.partitionBy(*keys)
-    before = series.orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, -1)
-    raw = F.floor(F.coalesce(F.sum("_rows").over(before), F.lit(0)) / size)
-    counts = counts.withColumn("_raw", raw)
-    full = F.sum("_rows").over(Window.partitionBy(*keys, "_raw")) >= lead
-    # The first span of a full raw block opens a block.
-    opens = full & (F.row_number().over(Window.partitionBy(*keys, "_raw").orderBy(_SPAN)) == 1)
-    upto = series.orderBy(_SPAN).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    series = Window.partitionBy(*keys).orderBy(_DAY)
+    before = series.rowsBetween(Window.unboundedPreceding, -1)
+    upto = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    piece = Window.partitionBy(*keys, "_piece")
+    counts = counts.withColumn(
+        "_piece", F.floor(F.coalesce(F.sum("_rows").over(before), F.lit(0)) / size)
+    )
+    # The first day of a piece that is large enough opens a block.
+    opens = (F.sum("_rows").over(piece) >= lead) & (
+        F.row_number().over(piece.orderBy(_DAY)) == 1
+    )
     counts = counts.withColumn("_opens", opens.cast("bigint"))
-    blocks = counts.select(*keys, _SPAN, F.sum("_opens").over(upto).alias(OWN_BLOCK))
-    own = spread.join(written(blocks, "series-blocks", folder), [*keys, _SPAN]).drop(_SPAN)
-    backwards = [F.col(name).desc() for name in SERIES_ORDER]
-    from_end = F.row_number().over(Window.partitionBy(*keys, OWN_BLOCK).orderBy(*backwards))
-    lent = own.withColumn(_SPAN, from_end).where(F.col(_SPAN) <= lead).drop(_SPAN)
-    rows = own.withColumn(BLOCK, F.col(OWN_BLOCK)).unionByName(
-        lent.withColumn(BLOCK, F.col(OWN_BLOCK) + 1)
+    counts = counts.withColumn(OWN_BLOCK, F.sum("_opens").over(upto))
+    block = Window.partitionBy(*keys, OWN_BLOCK).orderBy(F.desc(_DAY))
+    later = F.sum("_rows").over(block.rowsBetween(Window.unboundedPreceding, -1))
+    lends = F.coalesce(later, F.lit(0)) < lead
+    days = written(
+        counts.select(*keys, _DAY, OWN_BLOCK, lends.alias("_lends")), "series-blocks", folder
     )
-    return rows, crowded
+    own = F.col(OWN_BLOCK)
+    used_in = F.when(F.col("_lends"), F.array(own, own + 1)).otherwise(F.array(own))
+    rows = long.join(days, [*keys, _DAY]).withColumn(BLOCK, F.explode(used_in))
+    return rows.drop(_DAY, "_lends"), crowded

@@ -3,11 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import utc_to_epoch
 from ..functions.measures import outside_band
 from ..plans.sizing import LONG_SERIES, long_series
-from ..schema import CITY, SEQ, SERIES_ORDER, TEMPERATURE, TIMESTAMP
-from .blocks import BLOCK, FIRST, LAST, OWN_BLOCK, split_series, time_blocks
+from ..schema import CITY, SEQ, SERIES_ORDER, TEMPERATURE
+from .blocks import BLOCK, OWN_BLOCK, split_series, time_blocks
 
 
 def _split(rows: int) -> tuple[int, int, int]:
@@ -123,9 +122,7 @@ def rolling_stats(
                 rolled = rolled.withColumn(name, F.when(has_key, F.col(name)))
         return rolled
 
-    seconds = utc_to_epoch(F.col(TIMESTAMP))
-    figures = {FIRST: F.min(seconds), LAST: F.max(seconds)}
-    long_keys, long_rows = long_series(readings, keys, series_rows, folder, **figures)
+    long_keys, long_rows = long_series(readings, keys, series_rows, folder)
     if long_keys is None:
         return whole(readings)
 
@@ -134,13 +131,12 @@ def rolling_stats(
     def roll_blocks(blocks):
         return roll(blocks).where(F.col(BLOCK) == F.col(OWN_BLOCK)).drop(BLOCK, OWN_BLOCK)
 
-    short = readings.join(long_keys.select(*keys), keys, "left_anti")
-    long = readings.join(long_keys.select(*keys), keys, "left_semi")
-    blocks, crowded = time_blocks(long, keys, long_keys, series_rows, lead, folder)
+    short = readings.join(long_keys, keys, "left_anti")
+    blocks, crowded = time_blocks(readings, keys, long_keys, series_rows, lead, folder)
     rolled = whole(short).unionByName(roll_blocks(blocks))
     if crowded is not None:
         # Too many rows lie too close together in time: these are sorted and numbered.
-        rest = long.join(crowded, keys, "left_semi")
+        rest = readings.join(crowded, keys, "left_semi")
         numbered = split_series(rest, keys, SERIES_ORDER, long_rows, series_rows, lead, folder)
         rolled = rolled.unionByName(roll_blocks(numbered))
     return rolled

@@ -58,6 +58,40 @@ def paths_in(spark: SparkSession, pattern: str) -> list[str]:
     return [str(status.getPath().toString()) for status in fs.globStatus(at) or []]
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, which is there as a whole or not at all, in the place of one of the same name."""
+    fs, at = _file_system(spark, path)
+    _, own = _file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(own, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(own, at):
+        raise OSError(f"{path} could not be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a text file, compressed or not; None if it is empty."""
+    fs, at = _file_system(spark, path)
+    jvm, stream = spark._jvm, fs.open(at)
+    try:
+        factory = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory
+        codec = factory(spark._jsc.hadoopConfiguration()).getCodec(at)
+        text = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write `df` to a fresh scratch path, or over the same name in `folder`, and read it back.
 
@@ -70,22 +104,19 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def long_series(
-    readings: DataFrame, keys, series_rows: int, folder: str | None = None, **figures
-):
+def long_series(readings: DataFrame, keys, series_rows: int, folder: str | None = None):
     """Series longer than `series_rows`, as (DataFrame of keys, their rows in total), or (None, 0).
 
-    `figures` are aggregates of a series that stand beside its key. One scan of the columns that they
-    and the keys need, combined before the shuffle. There are never more long series than
+    One scan of the key columns, combined before the shuffle. There are never more long series than
     rows / series_rows, which bounds the broadcast of the returned keys.
     """
     sizes = (
         present(readings, *keys)
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), *[f.alias(name) for name, f in figures.items()])
+        .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > series_rows)
     )
     rows = sizes.agg(F.sum("n")).first()[0]
     if rows is None:
         return None, 0
-    return written(sizes.select(*keys, *figures), "long-series", folder), rows
+    return written(sizes.select(*keys), "long-series", folder), rows

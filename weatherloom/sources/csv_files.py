@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.sizing import written
+from ..plans.sizing import first_line, written
+
+# Of up to so many files, the driver reads the first line itself.
+DRIVER_FILES = 200
 
 _HEADERS = pa.schema([("file", pa.string()), ("header", pa.string())])
 
@@ -40,11 +43,8 @@ def _bytes_of(setting: str) -> int:
     return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit[:1]]
 
 
-def headers(spark: SparkSession, paths) -> list[tuple[list[str], list[str]]]:
-    """(columns, files) for every distinct header line; all but the first lines is left unread.
-
-    The driver gets a name and a line per file, as it does when Spark lists the files.
-    """
+def _first_lines_of(spark: SparkSession, paths) -> list[tuple[str, str]]:
+    """(file, first line) of every file that is not empty, by a job that reads little else."""
     split, opened = (
         _bytes_of(spark.conf.get(f"spark.sql.files.{name}"))
         for name in ("maxPartitionBytes", "openCostInBytes")
@@ -53,9 +53,24 @@ def headers(spark: SparkSession, paths) -> list[tuple[list[str], list[str]]]:
         "value", "_metadata.file_path", "_metadata.file_block_start", "_metadata.file_block_length"
     )
     firsts = lines.mapInArrow(_first_lines(split, opened), "file string, header string")
+    return [(row.file, row.header) for row in firsts.collect()]
+
+
+def headers(spark: SparkSession, paths, driver_files: int = DRIVER_FILES):
+    """(columns, files) for every distinct header line; all but the first lines is left unread.
+
+    The driver opens a few files itself, and has a job do so for many. It gets a name and a line per
+    file, as it does when Spark lists the files.
+    """
+    files = spark.read.text(paths).inputFiles()
+    if len(files) <= driver_files:
+        found = [(file, first_line(spark, unquote(file))) for file in files]
+    else:
+        found = _first_lines_of(spark, paths)
     by_header: dict[str, list[str]] = {}
-    for row in firsts.orderBy("file").collect():
-        by_header.setdefault(row.header.removeprefix("\ufeff").rstrip("\r"), []).append(row.file)
+    for file, line in sorted(found):
+        if line is not None:
+            by_header.setdefault(line.removeprefix("\ufeff").rstrip("\r"), []).append(file)
     return [(next(csv.reader([line])), files) for line, files in by_header.items()]
 
 

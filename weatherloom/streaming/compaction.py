@@ -11,7 +11,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.sizing import discard, paths_in
+from ..plans.sizing import discard, paths_in, read_text, write_text
 
 
 def carried(folders: list[tuple[int, str]], name: str) -> tuple[list[tuple[int, str]], list[str]]:
@@ -31,13 +31,13 @@ class CompactedFolder:
         self.spark, self.root = spark, root
 
     def _read(self, batch_id: int) -> list[tuple[int, str]]:
-        (row,) = self.spark.read.text(f"{self.root}/manifest/{batch_id}").collect()
-        return [(level, name) for level, name in json.loads(row.value)]
+        text = read_text(self.spark, f"{self.root}/manifest/{batch_id}.json")
+        return [(level, name) for level, name in json.loads(text)]
 
     def committed(self, before: int | None = None) -> int | None:
         """The number of the newest manifest, or of the newest one in front of `before`."""
-        found = paths_in(self.spark, f"{self.root}/manifest/*/_SUCCESS")
-        numbers = [int(path.split("/")[-2]) for path in found]
+        found = paths_in(self.spark, f"{self.root}/manifest/*.json")
+        numbers = [int(path.split("/")[-1].removesuffix(".json")) for path in found]
         return max((n for n in numbers if before is None or n < before), default=None)
 
     def folders(self, batch_id: int | None) -> list[tuple[int, str]]:
@@ -57,8 +57,7 @@ class CompactedFolder:
             old = self.spark.read.schema(rows.schema).parquet(*paths)
             rows = merge(old.unionByName(rows))
         rows.write.mode("overwrite").parquet(f"{self.root}/rows/{batch_id}")
-        manifest = self.spark.createDataFrame([(json.dumps(stay),)], "value string")
-        manifest.coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/{batch_id}")
+        write_text(self.spark, f"{self.root}/manifest/{batch_id}.json", json.dumps(stay))
         # What the manifest before named may be read again, what only older ones named may not.
         if last is not None:
             older = self.committed(last)
@@ -66,4 +65,4 @@ class CompactedFolder:
             gone = [name for _, name in self.folders(older) if name not in named]
             discard(self.spark, *[f"{self.root}/rows/{name}" for name in gone])
             if older is not None:
-                discard(self.spark, f"{self.root}/manifest/{older}")
+                discard(self.spark, f"{self.root}/manifest/{older}.json")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.profiles import last_rows
 from ..operators.rolling import rolling_anomalies
-from ..plans.sizing import LONG_SERIES, discard, paths_in
+from ..plans.sizing import LONG_SERIES, discard, paths_in, read_text, write_text
 from ..schema import CITY, READINGS, TIMESTAMP
 
 BUCKETS = 64
@@ -104,19 +104,17 @@ class RollingStream:
     # --- manifests: the newest timestamp, and per bucket its folder and oldest waiting row
 
     def _committed(self, spark: SparkSession, before: int | None = None) -> int | None:
-        found = paths_in(spark, f"{self.folder}/manifest/*/_SUCCESS")
-        numbers = [int(path.split("/")[-2]) for path in found]
+        found = paths_in(spark, f"{self.folder}/manifest/*.json")
+        numbers = [int(path.split("/")[-1].removesuffix(".json")) for path in found]
         return max((n for n in numbers if before is None or n < before), default=None)
 
     def _manifest(self, spark: SparkSession, batch_id: int | None) -> dict:
         if batch_id is None:
             return {"newest": None, "buckets": {}}
-        (row,) = spark.read.text(f"{self.folder}/manifest/{batch_id}").collect()
-        return json.loads(row.value)
+        return json.loads(read_text(spark, f"{self.folder}/manifest/{batch_id}.json"))
 
     def _commit(self, spark: SparkSession, batch_id: int, manifest: dict) -> None:
-        row = spark.createDataFrame([(json.dumps(manifest),)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest/{batch_id}")
+        write_text(spark, f"{self.folder}/manifest/{batch_id}.json", json.dumps(manifest))
 
     def _carried(self, spark: SparkSession, manifest: dict, buckets) -> DataFrame:
         """Carried rows of some buckets."""
@@ -200,4 +198,4 @@ class RollingStream:
         old = {own["batch"] for own in self._manifest(spark, older)["buckets"].values()}
         now = self._manifest(spark, self._committed(spark))["buckets"].values()
         kept |= {own["batch"] for own in now}
-        discard(spark, *[self._place(b) for b in old - kept], f"{self.folder}/manifest/{older}")
+        discard(spark, *[self._place(b) for b in old - kept], f"{self.folder}/manifest/{older}.json")
