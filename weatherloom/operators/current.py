@@ -50,7 +50,7 @@ def compare_current(
 ) -> DataFrame:
     """Each current reading with its historical band and 'above', 'below' or 'normal'.
 
-    Runs jobs that write the current readings and list the cities (and days) asked for.
+    Runs a job that writes the current readings, or, where a column has no type, what they ask for.
     """
     if norm not in NORMS:
         raise ValueError(f"unknown norm {norm!r}; choose one of {sorted(NORMS)}")
@@ -58,9 +58,11 @@ def compare_current(
     # Only the history of the cities asked for is read on, and only the norms asked for are computed.
     # What is asked for is written, as several passes over the history look it up.
     keyed, keys = with_norm_keys(current, norm)
-    if "void" not in dict(keyed.dtypes).values():
-        current = keyed = written(keyed, "current-readings")
-    asked = written(present(keyed, *keys).select(*keys).distinct(), "asked-norms")
+    if "void" in dict(keyed.dtypes).values():
+        asked = written(present(keyed, *keys).select(*keys).distinct(), "asked-norms")
+    else:
+        current = written(keyed, "current-readings")
+        asked = present(current, *keys).select(*keys).distinct()
     history = readings.join(asked.select(CITY).distinct(), CITY, "left_semi")
     norms = build(history, k=width if k is None else k, only=asked, **options)
     return classify(current, norms, norm)
