@@ -12,9 +12,11 @@ such sums grow with length, acceptance looks at a few shapes of them (means, and
 several bounds, where words that the target never has show), weighed by a logistic regression on
 labelled documents that the target model has not seen.
 
-Sampling is by Gumbel top-k: of all documents, the k largest of log odds / TEMPERATURE + Gumbel
-noise, without replacement. k is the number of documents with positive log odds unless given. The
-noise is a hash of seed, id and text, so a recomputed task draws the same.
+Sampling is by Gumbel top-k, without replacement: of all documents, the k largest of log weight per
+word + Gumbel noise are resampled, which draws them by their importance weights. What is kept is drawn
+in the same way by the log odds: the k largest of log odds / TEMPERATURE + noise. k is the number of
+documents with positive log odds unless given. The noise is a hash of seed, id and text, so a
+recomputed task draws the same.
 """
 
 import math
@@ -225,11 +227,14 @@ class QualityModel:
         self.ratios = spark.sparkContext.broadcast(ratios)
         self.weights, self.intercept, self.bits = weights, intercept, bits
 
-    def columns(self, text="text") -> tuple[F.Column, F.Column]:
-        """(log_weight, log_odds) of a text column."""
+    def columns(self, text="text") -> tuple[F.Column, F.Column, F.Column]:
+        """(log_weight, the same per word, log_odds) of a text column."""
         shapes = _features_udf(self.ratios, self.bits)(F.col(text).cast("string"))
         terms = [F.lit(float(w)) * shapes["features"][i] for i, w in enumerate(self.weights)]
-        return shapes["log_weight"], sum(terms, F.lit(float(self.intercept)))
+        # The last feature tells the number of words.
+        words = F.round(F.expm1(shapes["features"][_N_FEATURES - 1]))
+        per_word = shapes["log_weight"] / F.greatest(words, F.lit(1.0))
+        return shapes["log_weight"], per_word, sum(terms, F.lit(float(self.intercept)))
 
 
 def fit(
@@ -277,32 +282,51 @@ def sample_key(log_odds, seed: int = 0, temperature: float = TEMPERATURE) -> F.C
 
 
 def scored(documents: DataFrame, model: QualityModel, seed: int = 0) -> DataFrame:
-    """Per row: doc_id, log_weight, log_odds, sample_key. Written to scratch."""
-    log_weight, log_odds = model.columns()
+    """Per row: doc_id, log_weight, log_odds, weight_key, sample_key. Written to scratch."""
+    log_weight, per_word, log_odds = model.columns()
     df = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    df = df.select("doc_id", "text", log_weight.alias("log_weight"), log_odds.alias("log_odds"))
+    df = df.select(
+        "doc_id",
+        "text",
+        log_weight.alias("log_weight"),
+        log_odds.alias("log_odds"),
+        per_word.alias("per_word"),
+    )
+    df = df.withColumn("weight_key", sample_key(F.col("per_word"), seed, 1.0))
     df = df.withColumn("sample_key", sample_key(F.col("log_odds"), seed))
-    return written(df.drop("text"), "quality-scores")
+    return written(df.drop("text", "per_word"), "quality-scores")
+
 
+def drawn(scores: DataFrame, k: int | None = None) -> int:
+    """How many documents are drawn."""
+    if k is None:
+        return scores.where("log_odds > 0").count()
+    return min(k, scores.count())
 
-def threshold(scores: DataFrame, k: int | None = None) -> float:
-    """The sample key of the last document that is kept; infinite if none is."""
-    n = scores.count() if k else scores.where("log_odds > 0").count()
-    k = min(k, n) if k else n
-    return kth_largest(scores, "sample_key", k) if k else math.inf
+
+def threshold(scores: DataFrame, k: int | None = None, key: str = "sample_key") -> float:
+    """The sample key of the last document that is drawn; infinite if none is."""
+    k = drawn(scores, k)
+    return kth_largest(scores, key, k) if k else math.inf
 
 
 def resample(
     documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, **options
 ) -> DataFrame:
-    """Per document: doc_id, log_weight, log_odds, sample_key, keep.
+    """Per document: doc_id, log_weight, log_odds, weight_key, sample_key, resampled, keep.
 
-    `documents` needs doc_id and text, `labels` doc_id, quality and toxic (0 or 1). Every row is
+    `resampled` are the k largest weight keys, `keep` the k largest sample keys. `documents` needs doc_id and text, `labels` doc_id, quality and toxic (0 or 1). Every row is
     scored; a missing text is empty and its ratios are 0. Documents with equal sample keys stand or
     fall together, as repeated rows do. Empty tables give an empty result, no labels accept all.
     """
     scores = scored(documents, fit(documents, labels, **options), seed)
-    return scores.withColumn("keep", F.col("sample_key") >= F.lit(threshold(scores, k)))
+    k = drawn(scores, k)
+    return scores.withColumns(
+        {
+            "resampled": F.col("weight_key") >= F.lit(threshold(scores, k, "weight_key")),
+            "keep": F.col("sample_key") >= F.lit(threshold(scores, k)),
+        }
+    )
 
 
 def keep_good(
@@ -314,7 +338,7 @@ def keep_good(
     """
     model = fit(documents, labels, **options)
     least = threshold(scored(documents, model, seed), k)
-    _, log_odds = model.columns()
+    _, _, log_odds = model.columns()
     key = free_name(documents, "own_key")
     return (
         documents.withColumn(key, log_odds)
