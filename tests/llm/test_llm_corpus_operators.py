@@ -34,7 +34,7 @@ def texts_frame(spark, texts, parts=4):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_against_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SMALL)
     expected = duck.sql(queries.ORACLE[name])
@@ -43,7 +43,8 @@ def test_queries_against_sql(spark, name):
     assert rows == sorted(expected.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+# The mined pairs are as many as the vectors give; SQL says how many.
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op11_hard_negatives"}))
 def test_queries_give_a_row_per_input_row(spark, name):
     assert registered.queries()[name]
     rows = queries.QUERIES[name](spark, SMALL).count()

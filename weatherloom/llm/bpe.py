@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 LONG_WORD = 64
 # Words whose ids a process remembers, in two generations of this size: when the young one is full it
 # becomes the old one, whose words stay only if they are met again.
-REMEMBERED = 80_000
+REMEMBERED = 120_000
 # Only words of up to this many characters are remembered, which bounds the memory in bytes.
 REMEMBERED_LENGTH = 64
 
