@@ -206,6 +206,13 @@ def season_analysis_one_city(spark, sf_dir):
     return analysis.season_analysis(orders(spark, sf_dir), AS_OF, [CITY])
 
 
+def season_analysis_of_region(spark, sf_dir):
+    """The cities come from a table: the nations of one region."""
+    nation = standins.table(spark, sf_dir, "nation")
+    chosen = nation.where("n_regionkey = 2").select(F.col("n_name").alias("city"))
+    return analysis.season_analysis(orders(spark, sf_dir), AS_OF, chosen)
+
+
 def season_anomalies(spark, sf_dir):
     return analysis.season_anomalies(orders(spark, sf_dir), AS_OF).select(*FLAGGED)
 
@@ -544,6 +551,7 @@ QUERIES = {
     "season_statistics": season_statistics,
     "season_analysis": season_analysis,
     "season_analysis_one_city": season_analysis_one_city,
+    "season_analysis_of_region": season_analysis_of_region,
     "season_anomalies": season_anomalies,
     "histogram_30": histogram_30,
     "histogram_one_city": histogram_one_city,
@@ -919,6 +927,9 @@ SELECT city, season, {_SUMMARY}, {_r('any_value(slope)', 'slope')}, any_value(tr
 FROM season_rows JOIN trends USING (city) GROUP BY city, season""",
     "season_analysis": _season_analysis_sql("true"),
     "season_analysis_one_city": _season_analysis_sql(f"city = '{CITY}'"),
+    "season_analysis_of_region": _season_analysis_sql(
+        "city IN (SELECT n_name FROM nation WHERE n_regionkey = 2)"
+    ),
     "season_anomalies": f"{_with(_SUMMER_ROWS, _rolled(30, 7, source='season_rows'))} SELECT {_FLAGGED} FROM flagged",
     "histogram_30": _histogram_sql(),
     "histogram_one_city": _histogram_sql("", f"city = '{CITY}'"),

@@ -97,6 +97,9 @@ def test_day_and_month_and_range(spark):
     assert row.leap and not row.other and row.text == "2021-02-28"
     assert row.days == 3650 and row.last == dt.date(2019, 12, 29)
     assert row.by_number and row.by_label
+    for unknown in ("Wintre", 0, 5, None):
+        with pytest.raises(ValueError, match="unknown season"):
+            calendar.in_season(ntz("2021-02-28"), unknown)
 
 
 def test_verdicts_are_strict_and_missing_bounds_are_normal(spark):

@@ -94,6 +94,9 @@ def test_season_analysis_of_chosen_cities(make, history):
     got = analysis.season_analysis(make(history), "2024-01-20", ["Long", "Gaps"]).toPandas()
     assert set(got["city"]) == {"Long", "Gaps"} and len(got) == 10
     assert analysis.season_analysis(make(history), "2024-01-20", ["Nowhere"]).count() == 0
+    table = make(history).where("city IN ('Long', 'Gaps')").select("city")
+    of_table = analysis.season_analysis(make(history), "2024-01-20", table).toPandas()
+    assert sorted(of_table["seq"]) == sorted(got["seq"])
 
 
 def test_season_anomalies_cover_all_rows(make, history):

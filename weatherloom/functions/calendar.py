@@ -56,11 +56,18 @@ def on_day_and_month(ts, day: int, month: int) -> Column:
     return (F.dayofmonth(ts) == day) & (F.month(ts) == month)
 
 
+def known_season(season) -> str:
+    """The name of a season given by number, name or label; anything else is an error."""
+    if isinstance(season, int) and 1 <= season <= len(SEASONS):
+        return SEASONS[season - 1]
+    if isinstance(season, str) and season.lower() in SEASONS:
+        return season.lower()
+    raise ValueError(f"unknown season {season!r}; choose one of {', '.join(SEASONS)} or 1 to 4")
+
+
 def in_season(ts, season) -> Column:
     """Season derived from the timestamp, given by number, name or label."""
-    if isinstance(season, int):
-        return season_number(ts) == season
-    return season_name(ts) == season.lower()
+    return season_number(ts) == SEASONS.index(known_season(season)) + 1
 
 
 def whole_days_since(ts: Column, first: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import (
     calendar_date,
     in_season,
+    known_season,
     season_label,
     season_name,
     season_number,
@@ -91,8 +92,9 @@ def warmest_in_season(readings: DataFrame, season: str = "winter", n: int = 3) -
 
     The season is given by name or label, and stored as either.
     """
+    season = known_season(season)
     return (
-        city_means(readings.where(F.col(SEASON).isin(season.lower(), season.capitalize())))
+        city_means(readings.where(F.col(SEASON).isin(season, season.capitalize())))
         .orderBy(F.desc_nulls_last("mean"), CITY)
         .limit(n)
     )

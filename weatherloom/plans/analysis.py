@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import current_season
 from ..functions.rows import present
+from ..operators.compare import choose_cities
 from ..operators.profiles import rows_from_end, summary_columns
 from ..operators.rolling import flag_anomalies, rolling_anomalies, with_rolling_columns
 from ..operators.trend import group_trends
@@ -13,9 +14,12 @@ from .sizing import LONG_SERIES
 
 
 def season_rows(readings: DataFrame, as_of=None, cities=None) -> DataFrame:
-    """Rows whose stored season is the one of `as_of` (today if missing), for some or all cities."""
+    """Rows whose stored season is the one of `as_of` (today if missing), for some or all cities.
+
+    `cities` are names, or a DataFrame with a `city` column.
+    """
     rows = present(readings, CITY).where(F.col(SEASON) == current_season(as_of))
-    return rows if cities is None else rows.where(F.col(CITY).isin(list(cities)))
+    return rows if cities is None else choose_cities(rows, cities)
 
 
 def season_statistics(readings: DataFrame, as_of=None, cities=None) -> DataFrame:
