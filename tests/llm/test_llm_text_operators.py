@@ -338,7 +338,12 @@ def test_remembered_words_are_bounded(monkeypatch):
 # --- licenses ------------------------------------------------------------------------------------
 
 
-def plain_licenses(text):
+def tokens_of(words, n_words):
+    """Pairs of neighbouring words; words for templates of one word."""
+    return set(words) if n_words == 1 else set(zip(words, words[1:]))
+
+
+def plain_licenses(text, templates=licenses.TEMPLATES):
     text = text or ""
     own = words_of(text)
     base = [
@@ -347,25 +352,35 @@ def plain_licenses(text):
         for i in range(len(own))
         if own[i : i + len(phrase.split())] == phrase.split()
     ]
-    lines = [set(words_of(line)) for line in text.split("\n")]
-    paragraphs, now = [], set()
-    for line, found in zip(text.split("\n"), lines):
-        if line.strip(" \t\r"):
-            now |= found
-        else:
-            paragraphs, now = [*paragraphs, now], set()
-    paragraphs.append(now)
-    labels, score = set(), 0.0
-    for label, template in licenses.TEMPLATES:
-        wanted = set(words_of(template))
-        blocks = lines + (paragraphs if len(wanted) >= licenses.PARAGRAPH_WORDS else [])
-        best = max(len(wanted & b) / len(wanted) for b in blocks)
-        if best >= licenses.THRESHOLD - 1e-9:
-            labels.add(label)
-            score = max(score, best)
+    labels, places = set(), {}
+    for label, template in templates:
+        wanted = tokens_of(words_of(template), len(words_of(template)))
+        # The least power of two, from 2, that is at least 5 quarters of the template's words.
+        step = 2
+        while 4 * step < 5 * len(words_of(template)):
+            step *= 2
+        for at in range(0, len(own), step):
+            held = tokens_of(own[at : at + 2 * step], len(words_of(template)))
+            part = len(wanted & held) / len(wanted)
+            if 10 * len(wanted & held) >= 8 * len(wanted):
+                labels.add(label)
+                key = at, 2 * step, label
+                places[key] = max(part, places.get(key, 0.0))
+    score = max(places.values(), default=0.0)
     starts = [i for _, i in base]
     first, last = (min(starts), max(starts)) if starts else (None, None)
-    return len(own), len(base), first, last, sorted({b for b, _ in base}), sorted(labels), score
+    found = sorted((*key, part) for key, part in places.items())
+    return len(own), len(base), first, last, sorted({b for b, _ in base}), sorted(labels), score, found
+
+
+def license_rows(found):
+    return {
+        r.doc_id: (
+            r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.found_labels, r.score,
+            [tuple(p) for p in r.places],
+        )
+        for r in found.collect()
+    }
 
 
 def test_license_scan_against_plain_python(spark, none):
@@ -378,28 +393,53 @@ def test_license_scan_against_plain_python(spark, none):
             broken[rng.randrange(len(broken))] = "other"
         wrapped = "\n".join(" ".join(found[i : i + 9]) for i in range(0, len(found), 9))
         texts += [template.upper(), "before\n" + " ".join(broken) + "\nafter", f"a\n\n{wrapped}\n\nb"]
-    rows = list(enumerate(texts))
+        # At another place of the blocks, with words put in, and across the end of a text's blocks.
+        longer = " ".join(w + (" put" if i % 11 == 5 else "") for i, w in enumerate(found))
+        texts += ["word " * rng.randrange(200) + longer + " word" * rng.randrange(200)]
+    rows = [*enumerate(texts), (len(texts), texts[-1]), (None, texts[0])]
     df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
     df = df.withColumn("base", F.lit(1)).withColumn("label", F.lit("x"))
-    got = {
-        r.doc_id: (
-            r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.found_labels, r.score
-        )
-        for r in licenses.license_scan(df).collect()
-    }
+    got = license_rows(licenses.license_scan(df))
     assert got == {i: plain_licenses(t) for i, t in rows}
     assert licenses.license_scan(none).count() == 0
 
 
+def test_templates_of_a_table(spark):
+    table = spark.createDataFrame(
+        [("one", "Copyleft!"), ("two", "free forever"), ("none", "..."), (None, "x"), ("y", None)],
+        "label string, text string",
+    )
+    templates = licenses.templates_of(table)
+    assert templates == [("none", "..."), ("one", "Copyleft!"), ("two", "free forever")]
+    with pytest.raises(ValueError):
+        licenses.templates_of(table, at_most=2)
+    texts = ["a copyleft b", "free\nforever, free", "forever free", "free", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = license_rows(licenses.license_scan(df, templates))
+    assert got == {i: plain_licenses(t, templates[1:]) for i, t in enumerate(texts)}
+    assert [got[i][5] for i in range(4)] == [["one"], ["two"], [], []]
+    assert {r.score for r in licenses.license_scan(df, []).collect()} == {0.0}
+
+
+def test_scattered_words_are_no_notice(spark):
+    texts = [
+        "MIT released the report under license pressure from the board.",
+        "4 papers by cc, under the nc rule; 0 were licensed by nc.",
+        "The license under which Apache was licensed, version 0, is older than version 2.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {(*r.found_labels, r.score) for r in licenses.license_scan(df).collect()} == {(0.0,)}
+
+
 def test_short_notices_wrapped_over_lines(spark):
     rows = []
     for i, (label, template) in enumerate(licenses.TEMPLATES):
         half = template.split(" ")
         cut = max(1, len(half) // 2)
         rows.append((i, " ".join(half[:cut]) + "\n" + " ".join(half[cut:])))
-    rows.append((99, "Licensed under CC\n\nBY-NC 4.0."))
+    rows.append((99, "# Licensed under CC\n#\n# BY-NC 4.0."))
     df = spark.createDataFrame(rows, "doc_id int, text string")
     got = {r.doc_id: (r.found_labels, r.score) for r in licenses.license_scan(df).collect()}
     for i, (label, _) in enumerate(licenses.TEMPLATES):
         assert label in got[i][0] and got[i][1] == 1.0
-    assert got[99] == ([], 0.0)
+    assert got[99] == (["cc-by-nc"], 1.0)
