@@ -44,3 +44,26 @@ def test_a_declared_look_back_gives_the_same_for_a_bounded_template(spark):
     df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
     whole = chat.format_conversations(df).collect()
     assert chat.format_conversations(df, look_back=chat.TURN_LOOK_BACK).collect() == whole
+
+
+def test_a_declared_look_back_is_held_against_whole_renderings(spark):
+    rows = [(c, i, r, t) for c, n in ((1, 100), (2, 32), (3, 1)) for i, (r, t) in enumerate(TURNS[:n])]
+    rows += [(None, None, None, None), (4, 0, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").repartition(3)
+
+    def held(template, look_back):
+        found = chat.look_back_holds(df, template, look_back).collect()
+        return {r.conv_id: r.holds for r in found}
+
+    drops_first, numbered, repeats_system, own = templates()
+    assert held(own, chat.TURN_LOOK_BACK) == dict.fromkeys((1, 2, 3, 4, None), True)
+    # Segments start anew after 32 turns.
+    for template in (numbered, repeats_system):
+        assert held(template, 0) == {**dict.fromkeys((2, 3, 4, None), True), 1: False}
+    assert not held(drops_first, 4)[1] and held(drops_first, 4)[2]
+
+
+def test_the_look_back_of_our_template_holds_for_all_conversations(spark):
+    given = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    found = chat.look_back_holds(given, chat.turn_template, chat.TURN_LOOK_BACK)
+    assert found.where("NOT holds").count() == 0 < found.count()

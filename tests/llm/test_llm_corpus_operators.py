@@ -34,7 +34,7 @@ def texts_frame(spark, texts, parts=4):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_against_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "embeddings"):
+    for t in ("documents", "benchmark", "conversations", "embeddings", "pages"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SMALL)
     expected = duck.sql(queries.ORACLE[name])

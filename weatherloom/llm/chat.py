@@ -155,19 +155,20 @@ def _segments(batches, segment: int, look_back: int | None):
         yield conv_id, first, before, turns
 
 
-def _format(template, loss_roles, segment, look_back):
+def _format(template, loss_roles, segment, look_back, schema):
     def formatted(batches):
         rows, at = [], 0
         for conv_id, first, before, turns in _segments(batches, segment, look_back):
             at = at if first else 0
             pieces = turn_pieces(template, before, turns)
-            for position, ((role, _), found) in enumerate(zip(turns, pieces), first):
+            for position, ((role, text), found) in enumerate(zip(turns, pieces), first):
                 end = at + len(found["piece"])
                 rows.append(
                     {
                         "conv_id": conv_id,
                         "position": position,
                         "role": role,
+                        "text": text,
                         "span_start": at,
                         "span_end": end,
                         "in_loss": role in loss_roles,
@@ -176,10 +177,10 @@ def _format(template, loss_roles, segment, look_back):
                 )
                 at = end
             if len(rows) >= ROWS_PER_BATCH:
-                yield pa.RecordBatch.from_pylist(rows, _FORMATTED)
+                yield pa.RecordBatch.from_pylist(rows, schema)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, _FORMATTED)
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return formatted
 
@@ -190,9 +191,11 @@ def format_conversations(
     loss_roles: tuple[str, ...] = ("assistant",),
     segment: int = SEGMENT,
     look_back: int | None = None,
+    with_text: bool = False,
 ) -> DataFrame:
     """Per turn, in order within a conversation: conv_id, position, role, piece, span_start,
-    span_end (in the conversation's output), text_start, text_end (in the piece), in_loss, rewrites.
+    span_end (in the conversation's output), text_start, text_end (in the piece), in_loss, rewrites,
+    and with `with_text` the text as given.
 
     `conversations` needs conv_id, turn, role and text; other columns are not looked at. Missing
     roles and texts are empty; rows without conv_id are a conversation of their own; turns with the
@@ -209,9 +212,52 @@ def format_conversations(
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    columns, schema = FORMATTED, _FORMATTED
+    if with_text:
+        columns, schema = f"{columns}, text string", schema.append(pa.field("text", pa.string()))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(
-        _format(template, loss_roles, segment, look_back), FORMATTED
+        _format(template, loss_roles, segment, look_back, schema), columns
+    )
+
+
+def _whole(template):
+    def compared(batches):
+        """The pieces of each conversation, joined, against one rendering of all its turns."""
+        conv_id, turns, pieces = None, [], []
+
+        def row():
+            return [conv_id, template(turns) == "".join(pieces)]
+
+        for batch in batches:
+            rows = []
+            for own, position, role, text, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                if position == 0 and turns:
+                    rows.append(row())
+                    turns, pieces = [], []
+                conv_id = own
+                turns.append((role, text))
+                pieces.append(piece)
+            if rows:
+                yield pa.record_batch([list(c) for c in zip(*rows)], ["conv_id", "holds"])
+        if turns:
+            yield pa.record_batch([[v] for v in row()], ["conv_id", "holds"])
+
+    return compared
+
+
+def look_back_holds(
+    conversations: DataFrame, template: Template, look_back: int, segment: int = SEGMENT
+) -> DataFrame:
+    """Per conversation, whether the pieces rendered under a declared `look_back` are, joined, what
+    the template writes for all its turns at once: conv_id, holds.
+
+    Takes time in proportion to the turns, and memory for one conversation, so it is a test of a
+    template rather than a part of formatting. Rows are treated as in `format_conversations`.
+    """
+    pieces = format_conversations(conversations, template, (), segment, look_back, with_text=True)
+    return pieces.select("conv_id", "position", "role", "text", "piece").mapInArrow(
+        _whole(template), "conv_id bigint, holds boolean"
     )
 
 

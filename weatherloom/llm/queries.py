@@ -416,10 +416,89 @@ FROM placed p JOIN subroots s USING (tree) JOIN folded f ON f.tree = p.tree AND
 LEFT JOIN paths q ON q.tree = p.tree AND q.pos = p.pos, root r
 """
 
+# Base 32 writes 20 bits, 5 hexadecimal digits, as 4 characters.
+_PAGES_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_page
+  FROM pages
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string([
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)
+         FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id > first_page THEN first_page END AS refers_to
+FROM payloads
+"""
+
+
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _values(rows):
+    return ", ".join(f"({', '.join(_quoted(v) for v in row)})" for row in rows)
+
+
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+# Every pair of neighbouring words of a template counts in the blocks of 2 * step words around it.
+_LICENSES_SQL = f"""
+WITH phrases(phrase, label) AS (VALUES {_values(licenses.BASE_PHRASES)}),
+texts AS (
+  SELECT row_number() OVER () AS template, label, {_WORDS_SQL} AS w
+  FROM (VALUES {_values(licenses.TEMPLATES)}) AS t(label, text)
+),
+template_pairs AS (
+  SELECT DISTINCT template, label, [x FOR x IN [2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048]
+                                    IF 4 * x >= 5 * len(w)][1] AS step,
+         unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS pair
+  FROM texts
+),
+sized AS (SELECT *, count(*) OVER (PARTITION BY template) AS n_pairs FROM template_pairs),
+document_words AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents
+),
+places AS (
+  SELECT r, i - 1 AS place, w[i] || ' ' || w[i + 1] AS pair,
+         w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS triple
+  FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM document_words)
+),
+base AS (
+  SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+         list(DISTINCT label) AS labels
+  FROM places JOIN phrases ON phrase = pair OR phrase = triple GROUP BY r
+),
+held AS (
+  SELECT r, template, label, n_pairs, pair,
+         unnest(list_distinct([place // step, greatest((place + 1) // step - 1, 0)])) AS block
+  FROM places JOIN sized USING (pair)
+),
+found AS (
+  SELECT r, label, count(DISTINCT pair) AS n, any_value(n_pairs) AS n_pairs
+  FROM held GROUP BY r, template, label, block
+),
+method AS (
+  SELECT r, max(n::DOUBLE / n_pairs) AS score, list(DISTINCT label) AS labels
+  FROM found WHERE 10 * n >= 8 * n_pairs GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(
+         coalesce(b.labels, []) || coalesce(m.labels, []))), ',') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM document_words d LEFT JOIN base b USING (r) LEFT JOIN method m USING (r)
+"""
+
 ORACLE = {
     "op1_secret_scan": _SECRETS_SQL,
     "op2_benchmark_decontamination": _DECONTAMINATION_SQL,
+    "op5_web_archive": _PAGES_SQL,
     "op7_chat_formatting": _CHAT_SQL,
+    "op8_license_scan": _LICENSES_SQL,
     "op11_hard_negatives": _NEGATIVES_SQL,
     "op13_merkle_manifest": _MANIFEST_SQL,
 }
