@@ -275,7 +275,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     A missing text is empty. Every input row gives one row, other columns are not looked at. The
     fingerprint is the sketch of CELLS cells; likeness is that of the sets of paragraphs, recovered
-    from sketches that grow until they can be peeled. Runs jobs at once and writes keys to scratch.
+    from sketches that grow until they can be peeled. Runs jobs at once and writes to scratch. Sketches
+    are made where the texts meet, in tasks as even as the texts.
     """
     texts = with_next_text(documents)
     keyed = texts.select(
@@ -289,7 +290,6 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         paragraph_keys("edited").alias("edited"),
         paragraph_keys("next_text").alias("next"),
     )
-    keyed = written(keyed, "paragraph-keys")
     other = {"near_edited": "edited", "near_next": "next"}
 
     def closeness(found, keys):
