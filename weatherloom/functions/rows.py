@@ -17,3 +17,10 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def without_nan(df: DataFrame, column: str) -> DataFrame:
+    """NaN in a column of floating numbers becomes missing; other columns stay as they are."""
+    if df.schema[column].dataType.typeName() not in ("double", "float"):
+        return df
+    return df.withColumn(column, F.when(~F.isnan(column), F.col(column)))

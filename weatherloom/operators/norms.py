@@ -5,14 +5,18 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import season_name
 from ..functions.measures import lower_bound, upper_bound
-from ..functions.rows import present
+from ..functions.rows import present, without_nan
 from ..plans.sizing import LONG_SERIES
 from ..schema import CITY, SEASON, TEMPERATURE, TIMESTAMP
 from .rolling import rolling_anomalies, rolling_stats
 
 
 def _band(rows: DataFrame, keys: dict, value: str, k: float, only: DataFrame | None) -> DataFrame:
-    """Bands by `keys` (names and their columns), for all or for those that are in `only`."""
+    """Bands by `keys` (names and their columns), for all or for those that are in `only`.
+
+    NaN counts as a missing value.
+    """
+    rows = without_nan(rows, value)
     mean, std = F.col("mean"), F.col("std")
     rows = rows.select(*[column.alias(name) for name, column in keys.items()], value)
     if only is not None:

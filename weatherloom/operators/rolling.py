@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import outside_band
+from ..functions.rows import without_nan
 from ..plans.sizing import LONG_SERIES, long_series
 from ..schema import CITY, SEQ, SERIES_ORDER, TEMPERATURE
 from .blocks import BLOCK, OWN_BLOCK, split_series, time_blocks
@@ -101,12 +102,13 @@ def rolling_stats(
 ) -> DataFrame:
     """Add `rolling_mean` and `rolling_std` over the last rows of each series, in time order.
 
-    Rows are counted, not days. Both windows share one shuffle and one sort. Series of up to
+    NaN counts as a missing value, and becomes one. Rows are counted, not days. Both windows share one shuffle and one sort. Series of up to
     `series_rows` rows are one window partition; longer ones are cut into blocks. Rows without a key
     belong to no series: they keep missing values and are spread over the cluster. What long series
     need on the way is written to scratch, or to `folder` if given.
     """
     keys = list(keys)
+    readings = without_nan(readings, value)
     has_key = F.lit(True)
     for key in keys:
         has_key = has_key & F.col(key).isNotNull()
