@@ -335,6 +335,28 @@ def test_remembered_words_are_bounded(monkeypatch):
     assert len(vocabulary.remembered) <= 5
 
 
+def test_decoding_odd_rows(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = Tokenizer.from_file(path).encode("two words", add_special_tokens=False).ids
+    rows = [(1, None, "x"), (2, [], "x"), (3, ids, "x"), (3, ids, "x")]
+    df = spark.createDataFrame(rows, "doc_id int, ids array<int>, decoded string")
+    got = sorted(bpe.decode_documents(df, path).collect())
+    whole = Tokenizer.from_file(path).decode(ids, skip_special_tokens=False)
+    assert [(r.doc_id, r.decoded) for r in got] == [(1, None), (2, ""), (3, whole), (3, whole)]
+    assert bpe.decode_documents(df.where("false"), path).count() == 0
+
+
+def test_a_ledger_of_odd_versions(spark):
+    secret = "password = abcdef123"
+    rows = [(None, secret, "y"), (None, secret, "y"), ("a", None, "y"), ("b", "", "y")]
+    df = spark.createDataFrame(rows, "path string, text string, blob string")
+    ledger = scratch_path(spark, "odd-ledger")
+    found = secrets.findings(secrets.update_ledger(df, ledger), ledger).collect()
+    assert sorted((r.path or "", len(r.found)) for r in found) == [("", 1), ("", 1), ("a", 0), ("b", 0)]
+    again = secrets.update_ledger(df.where("false"), ledger)
+    assert secrets.findings(again, ledger).count() == 0
+
+
 # --- licenses ------------------------------------------------------------------------------------
 
 

@@ -253,5 +253,9 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """`encoded` with the column `decoded`: the tokens of `ids` as text, special ones included."""
+    """`encoded` with the column `decoded`: the tokens of `ids` as text, special ones included.
+
+    No array of ids gives no text, an empty one an empty text; an array's own ids must not be missing.
+    Repeated rows stay, an empty table stays empty, and a column `decoded` is replaced.
+    """
     return encoded.withColumn("decoded", decode_udf(path)("ids"))

@@ -107,7 +107,9 @@ def update_ledger(versions: DataFrame, ledger: str, rules=RULES) -> DataFrame:
 
     Returns the addressed versions (path, blob), with one row for each of the given ones, written to
     scratch. `versions` needs `path` and `text`. The text of one path per content is looked at, so
-    contents are moved once, in rows of their own, and no group of copies is ever gathered.
+    contents are moved once, in rows of their own, and no group of copies is ever gathered. A missing
+    text is an empty content, a missing path a path like any other; repeated rows stay, an empty table
+    adds nothing, and other columns are not looked at.
     """
     spark = versions.sparkSession
     texts = versions.select("path", address("text").alias("blob"), "text")
