@@ -415,6 +415,29 @@ def test_fingerprints_of_odd_tables(spark):
     assert alone.near_next == 1.0
 
 
+@pytest.mark.parametrize("kind", ["mixed", "all missing", "one id between others", "copies"])
+def test_next_texts_of_crowded_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "GROUP_BITS", 2)
+    rng = random.Random(8)
+    ids = {
+        "mixed": [None] * 60 + [8] * 45 + [9] * 30 + [1000] * 50 + list(range(-30, 40, 3)) + [7, 7, 7, 12],
+        "all missing": [None] * 70,
+        "one id between others": [5] * 64 + [1, 2, 20],
+        "copies": [3] * 50 + [2] * 9 + [40],
+    }[kind]
+    rows = [(i, "same" if kind == "copies" else f"text {rng.randrange(40)}") for i in ids]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    ordered = sorted(
+        df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect(),
+        key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, len(r.text)),
+    )
+    expected = [(r.doc_id, r.text, ordered[i - 1].text) for i, r in enumerate(ordered)]
+    got = [tuple(r) for r in fingerprints.with_next_text(df, crowded_rows=12).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+    whole = [tuple(r) for r in fingerprints.with_next_text(df, crowded_rows=10**9).collect()]
+    assert sorted(map(repr, whole)) == sorted(map(repr, expected))
+
+
 def test_key_differences_of_many_sizes(spark):
     rng = random.Random(3)
     pairs, expected = [], {}

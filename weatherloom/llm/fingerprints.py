@@ -28,6 +28,8 @@ DEALT_KEYS = 16
 ROUNDS = 12
 # Ids are neighbours within groups of 2 ** GROUP_BITS; see previous_groups.
 GROUP_BITS = 12
+# Groups with more rows than this, by repeated ids, are cut; see with_next_text.
+CROWDED_ROWS = 4 << GROUP_BITS
 
 
 # The expressions below are SQL text: nested functions of arrays, whose names must differ by level.
@@ -218,37 +220,108 @@ def previous_groups(groups: DataFrame, low: int, high: int) -> DataFrame:
     )
 
 
-def with_next_text(documents: DataFrame) -> DataFrame:
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Rows of crowded groups, in parts: `place` numbers them in order, 2 ** GROUP_BITS to a `part`.
+
+    Copies are told apart by their row, so the copies of one text are spread as well. Rows are written
+    before they are ordered and again when sorted, so that tasks run anew give the same numbers.
+    """
+    order = ("id", "hash", "length", "row")
+    keyed = rows.withColumns(
+        {
+            "hash": F.xxhash64("text"),
+            "length": F.length("text"),
+            "row": F.monotonically_increasing_id(),
+        }
+    )
+    ranges = (
+        written(keyed, "crowded-texts")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("place", F.monotonically_increasing_id())
+        .drop("hash", "length", "row")
+    )
+    return written(ranges, "crowded-rows").withColumn("part", F.shiftright("place", GROUP_BITS))
+
+
+def _followed_parts(parts: DataFrame) -> DataFrame:
+    """(from_g, from_place, g, part): which row of the same group each part but the first follows.
+
+    `parts` has g, part and the last place. A part may hold the end of one group and the beginning
+    of another; where a group has the part before, it has all of its last rows.
+    """
+    numbers = parts.select(F.col("part").alias("g")).distinct()
+    before = previous_groups(numbers, *parts.agg(F.min("part"), F.max("part")).first())
+    ends = parts.select("g", F.col("part").alias("previous"), F.col("last").alias("from_place"))
+    return (
+        parts.select("g", "part")
+        .join(before.withColumnRenamed("g", "part"), "part")
+        .join(ends, ["g", "previous"])
+        .select(F.col("g").alias("from_g"), "from_place", "g", "part")
+    )
+
+
+def with_next_text(documents: DataFrame, crowded_rows: int = CROWDED_ROWS) -> DataFrame:
     """doc_id, text and `next_text`, the text of the next document in descending order of doc_id.
 
     After the last comes the first. Rows that repeat an id follow each other in order of their
     text's hash; a missing id is smaller than any. Texts move once, into groups of neighbouring ids,
-    which the last document of the group before joins. Runs two small jobs on the ids.
+    which the last document of the group before joins. A group of more than `crowded_rows` rows, as
+    repeated or missing ids make, is first sorted by range partitions and cut into parts, so no
+    window holds more than that. Runs small jobs on the ids.
     """
     rows = documents.select(
         "doc_id",
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("g", F.shiftright("id", GROUP_BITS))
-    low, high = rows.agg(F.min("g"), F.max("g")).first()
+    sizes = rows.groupBy("g").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    sizes = written(sizes, "id-groups")
+    low, high = sizes.agg(F.min("g"), F.max("g")).first()
     if low is None:
         return rows.select("doc_id", "text", F.col("text").alias("next_text"))
-    lasts = written(rows.groupBy("g").agg(F.max("id").alias("last")), "last-ids")
-    before = previous_groups(lasts.select("g"), low, high)
+    # A row's place orders it in its group: its id, or its number in a crowded group.
+    whole, crowded = F.lit(-1).cast("bigint"), F.col("n") > crowded_rows
+    columns = ("doc_id", "text", "g", "part", "place")
+    placed = rows.withColumns({"part": whole, "place": F.col("id")}).select(*columns)
+    parts = sizes.select("g", whole.alias("part"), "last")
+    followed = None
+    if not sizes.where(crowded).isEmpty():
+        many = sizes.where(crowded).select("g")
+        cut = _crowded(rows.join(many, "g", "left_semi")).select(*columns)
+        placed = placed.join(many, "g", "left_anti").select(*columns).union(cut)
+        cut_parts = cut.groupBy("g", "part").agg(F.max("place").alias("last"))
+        cut_parts = written(cut_parts, "crowded-parts")
+        parts = parts.join(many, "g", "left_anti").union(cut_parts)
+        followed = _followed_parts(cut_parts)
     # The smallest document is followed by the largest.
-    before = before.withColumn("previous", F.coalesce("previous", F.lit(high)))
-    carried = before.join(
-        lasts.select(F.col("g").alias("previous"), F.col("last").alias("carried_id")), "previous"
+    before = previous_groups(sizes.select("g"), low, high).select(
+        "g", F.coalesce("previous", F.lit(high)).alias("from_g")
+    )
+    ends = parts.groupBy("g").agg(F.max("last").alias("from_place"), F.min("part").alias("part"))
+    carried = (
+        before.join(ends.select("g", "part"), "g")
+        .join(ends.select(F.col("g").alias("from_g"), "from_place"), "from_g")
+        .select("from_g", "from_place", "g", "part")
     )
+    carried = carried.union(followed) if followed else carried
     # A row per group of ids, some thousandth of the documents: with its size known, Spark sends it
     # to the texts while it is small, and moves both sides when it is not.
-    carried = written(carried.select("carried_id", F.col("g").alias("to")), "carried-ids")
-    extra = rows.join(carried, F.col("id") == F.col("carried_id")).select(
-        "doc_id", "id", "text", F.col("to").alias("g"), F.lit(True).alias("carried")
+    carried = written(carried, "carried-rows").select(
+        "from_g", "from_place", F.col("g").alias("to_g"), F.col("part").alias("to_part")
+    )
+    is_last = (F.col("g") == F.col("from_g")) & (F.col("place") == F.col("from_place"))
+    extra = placed.join(carried, is_last).select(
+        "doc_id",
+        "text",
+        F.col("to_g").alias("g"),
+        F.col("to_part").alias("part"),
+        "place",
+        F.lit(True).alias("carried"),
     )
-    both = rows.select("doc_id", "id", "text", "g", F.lit(False).alias("carried")).union(extra)
-    ordered = Window.partitionBy("g").orderBy(
-        F.desc("carried"), "id", F.xxhash64("text"), F.length("text")
+    both = placed.withColumn("carried", F.lit(False)).union(extra)
+    ordered = Window.partitionBy("g", "part").orderBy(
+        F.desc("carried"), "place", F.xxhash64("text"), F.length("text")
     )
     return (
         both.withColumn("next_text", F.lag("text").over(ordered))
