@@ -217,11 +217,11 @@ def encode_udf(path: str):
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         bpe = load(path)
-        ids = [bpe.packed(text.as_py() or "") for text in texts]
-        lengths = np.array([len(found) // 4 for found in ids], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        flat, offsets = array("i"), [0]
+        for text in texts:
+            flat.frombytes(bpe.packed(text.as_py() or ""))
+            offsets.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.asarray(flat)))
 
     # Else a plan that uses the ids twice, as decoding them does, would encode each text twice.
     return encode.asNondeterministic()
