@@ -465,3 +465,11 @@ def test_short_notices_wrapped_over_lines(spark):
     for i, (label, _) in enumerate(licenses.TEMPLATES):
         assert label in got[i][0] and got[i][1] == 1.0
     assert got[99] == (["cc-by-nc"], 1.0)
+
+
+def test_long_texts_are_cut_into_blocks_of_words(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 7)
+    tokenizer = library(WORDS)
+    for text in ("", "One two, three. " * 30, "äöü Σίσυφος \u2028 " * 20, "no" * 40, "a b c d e f g"):
+        expected = tokenizer.encode(text, add_special_tokens=False).ids
+        assert bpe.load(WORDS).encode(text) == expected

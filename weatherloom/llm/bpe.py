@@ -14,8 +14,9 @@ import heapq
 import json
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 LONG_WORD = 64
 # Words whose ids a process remembers, in two generations of this size: when the young one is full it
 # becomes the old one, whose words stay only if they are met again.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 # Only words of up to this many characters are remembered, which bounds the memory in bytes.
 REMEMBERED_LENGTH = 64
 
+# Words of a long text that are held at a time.
+BLOCK_WORDS = 50_000
+
 _NO_RANK = 1 << 60
 
 
@@ -176,6 +180,15 @@ class WordBpe:
         text = self._library.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
+    def word_blocks(self, text: str) -> Iterator[list[str]]:
+        """`words` of a text, some at a time if it is long."""
+        if len(text) <= BLOCK_WORDS or not (text.isascii() or self.all_assigned(text)):
+            yield self.words(text)
+            return
+        words = (found[0] for found in self.pieces.finditer(self.normalized(text)))
+        while block := list(islice(words, BLOCK_WORDS)):
+            yield block
+
     def normalized(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         # Each character on its own: a whole string's lower case has a final sigma.
@@ -193,7 +206,8 @@ class WordBpe:
             if i % 2:
                 packed.append(array("i", [self.special[piece]]).tobytes())
             else:
-                packed.append(b"".join(map(self.remembered.__getitem__, self.words(piece))))
+                for words in self.word_blocks(piece):
+                    packed.append(b"".join(map(self.remembered.__getitem__, words)))
         return b"".join(packed)
 
     def encode(self, text: str) -> list[int]:
@@ -217,6 +231,8 @@ def encode_udf(path: str):
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         bpe = load(path)
+        # What the batch before left is given back, as other workers share the executor's memory.
+        pa.default_memory_pool().release_unused()
         flat, offsets = array("i"), [0]
         for text in texts:
             flat.frombytes(bpe.packed(text.as_py() or ""))
@@ -233,11 +249,19 @@ def decode_udf(path: str):
     @F.arrow_udf("string")
     def decode(arrays: pa.Array) -> pa.Array:
         bpe = load(path)
-        decoded = (
-            bpe.decode(ids.values.to_numpy(zero_copy_only=False).tolist()) if ids.is_valid else None
-            for ids in arrays
+        pa.default_memory_pool().release_unused()
+        data, offsets = bytearray(), [0]
+        for ids in arrays:
+            if ids.is_valid:
+                data += bpe.decode(ids.values.to_numpy(zero_copy_only=False).tolist()).encode()
+            offsets.append(len(data))
+        valid = arrays.is_valid().to_numpy(zero_copy_only=False)
+        buffers = (
+            pa.array(offsets, pa.int32()).buffers()[1],
+            pa.py_buffer(data),
+            pa.py_buffer(np.packbits(valid, bitorder="little")),
         )
-        return pa.array(decoded, pa.string(), size=len(arrays))
+        return pa.StringArray.from_buffers(len(arrays), *buffers)
 
     return decode
 
