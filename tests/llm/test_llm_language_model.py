@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weatherloom.llm import elias_fano, language_model
+from weatherloom.llm.words import hash_word
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 A_TO_Z = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -200,3 +202,67 @@ def test_long_texts_are_cut_behind_white_space():
             assert [p[4] for p in own] == [False] * (len(own) - 1) + [True]
             words = [w for _, a, b, _, _ in own for w in data[a:b].split()]
             assert words == text.split()
+
+
+def rows_of(texts):
+    n = range(len(texts))
+    columns = [pa.array(n), pa.array(map(str, n)), pa.array([i % 3 == 1 for i in n]), pa.array(texts)]
+    return pa.record_batch(columns, names=["row", "id", "held_out", "text"])
+
+
+def test_a_batch_of_texts_takes_little_memory():
+    rng = random.Random(2)
+    words = [f"word{i}" for i in range(20_000)]
+    many = [" ".join(rng.choices(words, k=300)) for _ in range(2500)]
+    for texts in (many, [" ".join(many)]):
+        batch, size = rows_of(texts), sum(map(len, texts))
+        tokenise = language_model._tokenised(language_model.BATCH_BYTES)
+        list(tokenise(iter([batch.slice(0, 1)])))
+        tracemalloc.start()
+        (found,) = tokenise(iter([batch]))
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert found["n_tokens"][0].as_py() == sum(len(tokens_of(t)) for t in texts)
+        assert peak < 4 * size
+
+
+def test_blocks_of_a_batch_change_nothing(monkeypatch):
+    texts = [*random_texts(80, 6), None, "", "z" * 5000, " ", "long Words " * 900 + "end", "\t"]
+    limits = (1 << 24, 700)
+    whole = [list(language_model._tokenised(limit)(iter([rows_of(texts)]))) for limit in limits]
+    assert [len(w) for w in whole][0] == 1 < len(whole[1])
+    hashes = np.frombuffer(whole[0][0]["vocabulary"][0].as_py(), np.uint64)
+    plain = sorted({t for text in texts for t in tokens_of(text)}, key=str)
+    expected = [int(hash_word(w)) if w else int(language_model.END) for w in plain]
+    assert hashes.tolist() == sorted(expected)
+    for size in (1, 7, 64, 1000):
+        for name in ("BLOCK_BYTES", "BLOCK_TOKENS", "GAP_BYTES"):
+            monkeypatch.setattr(language_model, name, size)
+        for limit, expected in zip(limits, whole):
+            found = list(language_model._tokenised(limit)(iter([rows_of(texts)])))
+            assert [f.to_pylist() for f in found] == [e.to_pylist() for e in expected]
+
+
+def test_a_shard_takes_little_memory():
+    rng = np.random.default_rng(3)
+    contexts = np.tile(rng.integers(0, 2**63, 40_000).astype(np.uint64), 10)
+    sizes = np.full(len(contexts), 4, np.int32)
+    words = rng.integers(0, 2**63, 50_000).astype(np.uint64)[rng.integers(0, 50_000, sizes.sum())]
+    counts = rng.integers(0, 3, len(words)).astype(np.int32)
+    totals = counts.reshape(-1, 4).sum(axis=1)
+    size = sum(a.nbytes for a in (contexts, sizes, totals, words, counts))
+    own = [contexts.copy(), sizes.copy(), totals.copy(), words.copy(), counts.copy()]
+    tracemalloc.start()
+    arrays = language_model.Trie.arrays(*(own.pop(0) for _ in range(5)))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 3.5 * size
+    trie = language_model.Trie(arrays)
+    summed = Counter()
+    for v, w, c in zip(np.repeat(contexts, sizes).tolist(), words.tolist(), counts.tolist()):
+        summed[v, w] += c
+    v, w = np.array([*summed], np.uint64).T
+    at, total, _ = trie.context(v)
+    c = np.array([*summed.values()])
+    p = language_model.probability(trie.discounted(at, w))
+    assert np.allclose(p, np.maximum(c - 0.75, 0) / total, rtol=5e-4)

@@ -15,11 +15,20 @@ from .warc import open_store
 
 _WORD = 64
 _ALIGNED = 8
+# Values whose low bits are packed at a time; a multiple of 8, so that a block's bits end with a byte.
+_BLOCK = 1 << 16
 
 
-def _packed(bits: np.ndarray) -> np.ndarray:
-    """Bits, lowest first, as 64-bit words with one word to spare."""
-    data = np.packbits(bits, bitorder="little")
+def _low_bits(values: np.ndarray, n: int) -> np.ndarray:
+    """The `n` lowest bits of each value, lowest first."""
+    bits = np.empty((len(values), n), np.uint8)
+    for i in range(n):
+        bits[:, i] = (values >> np.uint64(i)) & np.uint64(1)
+    return bits.ravel()
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """Bytes of packed bits as 64-bit words with one word to spare."""
     words = np.zeros(-(-len(data) // 8) + 1, np.uint64)
     words.view(np.uint8)[: len(data)] = data
     return words
@@ -62,18 +71,20 @@ class EliasFano:
         own = values - base
         spread = int(own[-1]) // n if n else 0
         low_bits = max(spread.bit_length() - 1, 0)
-        bits = np.empty((n, low_bits), np.uint8)
-        for i in range(low_bits):
-            bits[:, i] = (own >> np.uint64(i)) & np.uint64(1)
+        low = [
+            np.packbits(_low_bits(own[i : i + _BLOCK], low_bits), bitorder="little")
+            for i in range(0, n, _BLOCK)
+        ]
         high = (own >> np.uint64(low_bits)).astype(np.int64)
         buckets = int(high[-1]) + 1 if n else 0
         unary = np.zeros(n + buckets, np.uint8)
-        unary[high + np.arange(n)] = 1
+        high += np.arange(n)
+        unary[high] = 1
         return {
             "shape": np.array([n, low_bits, base], np.uint64),
             "buckets": np.array([buckets], np.int64),
-            "low": _packed(bits.ravel()),
-            "high": _packed(unary),
+            "low": _words(np.concatenate(low) if low else np.zeros(0, np.uint8)),
+            "high": _words(np.packbits(unary, bitorder="little")),
         }
 
     def _low_at(self, i):

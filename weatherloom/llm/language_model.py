@@ -36,6 +36,12 @@ from .words import find_words, utf8
 
 DISCOUNT = 0.75
 BATCH_BYTES = 16 << 20
+# Words of a batch are found in blocks of about this many bytes, and numbered in blocks of this many
+# tokens, as each worker of an executor holds a batch.
+BLOCK_BYTES = 1 << 18
+BLOCK_TOKENS = 1 << 18
+# White space to cut at is looked for in so many bytes at a time.
+GAP_BYTES = 1 << 16
 # A shard is for about this many tokens, of which it holds the different pairs.
 SHARD_TOKENS = 3_000_000
 # Of a batch, one token in so many is offered to the sample that finds the cuts between shards.
@@ -106,84 +112,130 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def pieces(column: pa.Array, limit: int):
-    """Lists of (row, first byte, end, is the text's first, is its last) of about `limit` bytes.
+def _cut(data: np.ndarray, first: int, end: int, limit: int) -> int:
+    """End of a piece that begins at `first`: behind white space, if all up to `end` is too long.
 
-    Consecutive texts are together; one that is longer is cut behind white space.
+    That is the last white space within `limit` bytes, or else the next one.
     """
-    data, offsets = utf8(column)
+    high = low = first + limit
+    if high >= end:
+        return end
+    while low > first:
+        at, low = low, max(low - GAP_BYTES, first)
+        gaps = np.flatnonzero(GAPS[data[low:at]])
+        if len(gaps):
+            return low + int(gaps[-1]) + 1
+    while high < end:
+        at, high = high, min(high + GAP_BYTES, end)
+        gaps = np.flatnonzero(GAPS[data[at:high]])
+        if len(gaps):
+            return at + int(gaps[0]) + 1
+    return end
+
+
+def _together(data: np.ndarray, spans, limit: int):
+    """Lists of (span, first byte, end, is the span's first, is its last) of about `limit` bytes."""
     found, size = [], 0
-    for row in range(len(offsets) - 1):
-        start, end = int(offsets[row]), int(offsets[row + 1])
+    for span, (start, end) in enumerate(spans):
         first = start
         while True:
-            cut = end
-            if end - first > limit:
-                gaps = np.flatnonzero(GAPS[data[first : first + limit]])
-                if len(gaps):
-                    cut = first + int(gaps[-1]) + 1
-                else:
-                    later = np.flatnonzero(GAPS[data[first + limit : end]])
-                    cut = first + limit + int(later[0]) + 1 if len(later) else end
+            cut = _cut(data, first, end, limit)
             if found and size + cut - first > limit:
-                yield data, found
+                yield found
                 found, size = [], 0
-            found.append((row, first, cut, first == start, cut == end))
+            found.append((span, first, cut, first == start, cut == end))
             size += cut - first
             first = cut
             if cut == end:
                 break
     if found:
+        yield found
+
+
+def pieces(column: pa.Array, limit: int):
+    """Lists of (row, first byte, end, is the text's first, is its last) of about `limit` bytes.
+
+    Consecutive texts are together; one that is longer is cut behind white space.
+    """
+    data, offsets = utf8(column)
+    offsets = offsets.tolist()
+    for found in _together(data, zip(offsets[:-1], offsets[1:]), limit):
         yield data, found
 
 
 def _batch(data, found, before: np.uint64):
     """(hashes, begins) of the tokens of pieces; each begins with the word in front of it."""
-    starts = np.array([p[1] for p in found])
-    offsets = np.append(starts, found[-1][2]) - starts[0]
-    words = find_words(data[starts[0] : found[-1][2]], offsets, ~GAPS)
-    counts = np.bincount(words.row, minlength=len(found))
-    is_last = np.array([p[4] for p in found], np.int64)
+    counts, of_words = np.zeros(len(found), np.int64), []
+    for block in _together(data, [(p[1], p[2]) for p in found], BLOCK_BYTES):
+        first, last = block[0][0], block[-1][0]
+        low, high = block[0][1], block[-1][2]
+        words = find_words(data[low:high], np.array([*[p[1] for p in block], high]) - low, ~GAPS)
+        counts[first : last + 1] += np.bincount(words.row, minlength=len(block))
+        of_words.append(words.hash)
+    is_last = np.array([p[4] for p in found])
     lengths = 1 + counts + is_last
-    begins = np.cumsum(lengths) - lengths
-    hashes = np.full(int(lengths.sum()), END)
-    place = np.arange(len(words.row)) - (np.cumsum(counts) - counts)[words.row]
-    hashes[begins[words.row] + 1 + place] = words.hash
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    is_word = np.ones(int(lengths.sum()), bool)
+    is_word[begins] = False
+    is_word[ends[is_last] - 1] = False
+    hashes = np.full(len(is_word), END)
+    hashes[is_word] = np.concatenate(of_words)
     for i, (_, _, _, is_first, _) in enumerate(found):
         if not is_first:
             hashes[begins[i]] = before if i == 0 else hashes[begins[i] - 1]
     return hashes, begins
 
 
+def _numbered(hashes: np.ndarray):
+    """The different hashes in order, and the place of each hash among them."""
+    blocks = []
+    for i in range(0, len(hashes), BLOCK_TOKENS):
+        own, at = np.unique(hashes[i : i + BLOCK_TOKENS], return_inverse=True)
+        blocks.append((own, at.astype(np.int32)))
+    vocabulary = np.unique(np.concatenate([own for own, _ in blocks]))
+    tokens = [np.searchsorted(vocabulary, own).astype(np.int32)[at] for own, at in blocks]
+    return vocabulary, np.concatenate(tokens)
+
+
+def _counted(found, hashes, begins, row, key, is_held_out) -> pa.RecordBatch:
+    """The row of a batch."""
+    held_out = [bool(is_held_out[p[0]]) for p in found]
+    lengths = np.diff(np.append(begins, len(hashes))) - 1
+    at = np.arange(1, len(hashes), SAMPLE_STEP)
+    pairs = np.unique(np.stack([hashes[at - 1], hashes[at]]).view(np.int64), axis=1)
+    vocabulary, tokens = _numbered(hashes)
+    return pa.RecordBatch.from_pylist(
+        [
+            {
+                "rows": [row[p[0]] for p in found],
+                "ids": [key[p[0]] for p in found],
+                "held_out": held_out,
+                "begins": pack(begins, np.int64),
+                "vocabulary": vocabulary.tobytes(),
+                "tokens": pack(tokens, np.int32),
+                "n_tokens": int(lengths.sum()),
+                "n_training": int(lengths[~np.array(held_out)].sum()),
+                "sample": [{"v": v, "w": w} for v, w in pairs.T.tolist()],
+            }
+        ],
+        _BATCH_TYPES,
+    )
+
+
 def _tokenised(batch_bytes: int):
     def tokenise(batches):
         for batch in batches:
-            row, key, is_held_out = (batch.column(i).to_pylist() for i in range(3))
+            # What the rows before left is given back, as other workers share the executor's memory.
+            pa.default_memory_pool().release_unused()
+            of_rows = [batch.column(i).to_pylist() for i in range(3)]
             before = END
             for data, found in pieces(batch.column(3), batch_bytes):
                 hashes, begins = _batch(data, found, before)
                 before = hashes[-1]
-                vocabulary, tokens = np.unique(hashes, return_inverse=True)
-                held_out = [bool(is_held_out[p[0]]) for p in found]
-                lengths = np.diff(np.append(begins, len(tokens))) - 1
-                at = np.arange(1, len(tokens), SAMPLE_STEP)
-                pairs = np.unique(np.stack([hashes[at - 1], hashes[at]]).view(np.int64), axis=1)
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {
-                            "rows": [row[p[0]] for p in found],
-                            "ids": [key[p[0]] for p in found],
-                            "held_out": held_out,
-                            "begins": pack(begins, np.int64),
-                            "vocabulary": vocabulary.tobytes(),
-                            "tokens": pack(tokens, np.int32),
-                            "n_tokens": int(lengths.sum()),
-                            "n_training": int(lengths[~np.array(held_out)].sum()),
-                            "sample": [{"v": v, "w": w} for v, w in pairs.T.tolist()],
-                        }
-                    ],
-                    _BATCH_TYPES,
-                )
+                counted = _counted(found, hashes, begins, *of_rows)
+                del hashes, begins
+                yield counted
 
     return tokenise
 
@@ -197,14 +249,15 @@ class Batch:
     def __init__(self, begins, vocabulary, tokens, held_out, cuts):
         self.vocabulary = np.frombuffer(vocabulary, np.uint64)
         self.begins = unpack(begins, np.int64)
-        tokens = unpack(tokens, np.int32).astype(np.int64)
-        is_token = np.ones(len(tokens), bool)
-        is_token[self.begins] = False
-        at = np.flatnonzero(is_token)
-        self.piece = np.searchsorted(self.begins, at, side="right") - 1
-        self.word = tokens[at]
-        self.pair = tokens[at - 1] * len(self.vocabulary) + self.word
-        self.is_training = ~np.array(held_out, bool)[self.piece]
+        tokens = unpack(tokens, np.int32)
+        lengths = np.diff(np.append(self.begins, len(tokens))) - 1
+        self.piece = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.word = np.delete(tokens, self.begins)
+        is_last = np.append(self.begins[1:] - 1, len(tokens) - 1)
+        self.pair = np.delete(tokens, is_last).astype(np.int64)
+        self.pair *= len(self.vocabulary)
+        self.pair += self.word
+        self.is_training = np.repeat(~np.array(held_out, bool), lengths)
         self.cut_v, self.cut_w = cuts
         # Shards that hold a part of each word's pairs, as context.
         self.first_shard = np.searchsorted(self.cut_v, self.vocabulary, side="left")
@@ -212,10 +265,13 @@ class Batch:
 
     def pairs(self):
         """Different pairs in order, and their counts in training texts."""
-        marked = np.sort(self.pair * 2 + self.is_training)
+        marked = self.pair * 2
+        marked += self.is_training
+        marked.sort()
         pairs = marked >> 1
+        marked &= 1
         first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else pairs
-        counts = np.add.reduceat(marked & 1, first) if len(first) else first
+        counts = np.add.reduceat(marked, first) if len(first) else first
         return pairs[first], counts
 
     def shares(self, pairs: np.ndarray):
@@ -305,19 +361,27 @@ class Trie:
         seen = counts > 0
         words, counts, behind = words[seen], counts[seen], np.repeat(at, sizes)[seen]
         vocabulary = np.unique(words)
-        number = behind * len(vocabulary) + np.searchsorted(vocabulary, words)
+        number = behind * len(vocabulary)
+        number += np.searchsorted(vocabulary, words)
+        # Arrays of a length of all pairs asked for go as soon as they are used.
+        del words, behind, seen, sizes, contexts, at
         order = np.argsort(number, kind="stable")
         number, counts = number[order], counts[order]
+        del order
         first = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else number
         count = np.add.reduceat(counts, first) if len(first) else first
         number = number[first]
+        del counts, first
         # Contexts of held-out texts alone are not in the model.
         known = total > 0
         context = (np.cumsum(known) - 1)[number // max(len(vocabulary), 1)]
-        number = context * len(vocabulary) + number % max(len(vocabulary), 1)
+        number %= max(len(vocabulary), 1)
+        number += context * len(vocabulary)
         own, total = own[known], total[known]
         types = np.bincount(context, minlength=len(own))
         pointers = np.concatenate([[0], np.cumsum(types)])
+        codes = quantised((count - discount) / total[context])
+        del count, context
         levels = {
             "contexts": own,
             "pointers": pointers,
@@ -329,13 +393,12 @@ class Trie:
             for name, values in levels.items()
             for part, a in EliasFano.arrays(values).items()
         }
-        behind_total = total[context]
         backoff = discount * types / np.maximum(total, 1)
         arrays["values.totals"] = total
         arrays["values.backoffs"] = np.where(
             types > 0, quantised(np.where(types > 0, backoff, 1.0)), MISSING
         ).astype(np.uint16)
-        arrays["values.codes"] = quantised((count - discount) / behind_total)
+        arrays["values.codes"] = codes
         return arrays
 
     def context(self, hashes: np.ndarray):
@@ -368,9 +431,11 @@ def _answered(folder: str, cuts, discount: float):
         )
         sizes, counts = ([unpack(a[name], np.int32) for a in asked] for name in ("sizes", "counts"))
         totals = [unpack(a["totals"], np.int64) for a in asked]
-        together = (np.concatenate(x) for x in (contexts, sizes, totals, words, counts))
+        together = [np.concatenate(x) for x in (contexts, sizes, totals, words, counts)]
+        del counts, totals
         place = f"{folder}/shard-{shard}"
-        write_arrays(place, Trie.arrays(*together, discount))
+        # Only the trie's arrays hold them from here.
+        write_arrays(place, Trie.arrays(*(together.pop(0) for _ in range(5)), discount))
         trie = Trie(map_arrays(place))
         # A context is counted in the first of its shards.
         own = trie.contexts[np.arange(trie.contexts.n)]
